@@ -6,7 +6,7 @@ Every view reads whole tables; nothing is made up beside them.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoaffinity.operators.splits import train_interactions
-from geoaffinity.runtime import ordered_prefix
+from geoaffinity.runtime import cut, ordered_prefix
 
 DAYS = ("20240102", "20240129")      # valid days of the sighting log
 TRAIN = ("19950101", "19991231")
@@ -80,22 +80,29 @@ def item_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def item_catalog(usage: DataFrame) -> DataFrame:
+def item_catalog(counts: DataFrame) -> DataFrame:
     """item, cnt and d, the 0-based rank by (count descending, item)."""
-    counts = usage.groupBy("item").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = ordered_prefix(counts, ["cnt", "item"], [False, True])
+    totals = counts.groupBy("item").agg(F.sum("cnt").alias("cnt"))
+    ranked = ordered_prefix(totals, ["cnt", "item"], [False, True])
     return ranked.select("item", "cnt", F.col("pos").cast("bigint").alias("d"))
 
 
 def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, u, d of every order line."""
     usage = item_usage(spark, sf_dir)
-    return usage.join(item_catalog(usage), "item").select("date", "u", "d")
+    catalog = item_catalog(usage.groupBy("item").agg(F.count(F.lit(1)).alias("cnt")))
+    return usage.join(catalog, "item").select("date", "u", "d")
 
 
 def interactions(spark: SparkSession, sf_dir: str, folds: int = 1) -> DataFrame:
-    """Distinct (fold, u, d) with x = 1, once per fold."""
-    pairs = train_interactions(numbered_items(spark, sf_dir))
+    """Distinct (fold, u, d) with x = 1, once per fold.
+
+    The order lines are read once: they shrink to (u, item) counts first, and
+    both the item numbers and the pairs come from those.
+    """
+    counts = cut(item_usage(spark, sf_dir).groupBy("u", "item").agg(
+        F.count(F.lit(1)).alias("cnt")))
+    pairs = train_interactions(counts.join(item_catalog(counts), "item"))
     ids = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
     return pairs.select(ids, "u", "d", "x")
 

@@ -4,7 +4,7 @@
 ``rank`` missing: a higher-order function that fits any length.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -52,13 +52,23 @@ def norm(a: Column, rank: int | None = None) -> Column:
     return F.sqrt(norm2(a, rank))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    Passing a heavy expression to a body that uses it several times would repeat
+    it; bound to a lambda variable it is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(a: Column) -> Column:
-    return div_safe(a, norm(a))
+    return let(norm(a), lambda length: div_safe(a, length))
 
 
 def random_unit_vector(rank: int, *keys) -> Column:
     """Uniform [0,1) entries decided by the keys, scaled to length one."""
-    return normalise(F.array(*[hash_uniform(*keys, i) for i in range(rank)]))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda i: hash_uniform(*keys, i))
+    return let(raw, normalise)
 
 
 def sum_vectors(v: Column, rank: int, weight: Column | None = None) -> Column:

@@ -5,15 +5,16 @@ losses, step widths) ever reach the driver. One training step is two lineage
 cuts (the user and the item gradients) and two small aggregations.
 """
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoaffinity.functions import (dot, log_loss, logistic, norm2, random_unit_vector, softplus,
                                    sum_vectors)
-from geoaffinity.operators.sampling import rank_chunks
+from geoaffinity.operators.pairwise import pair_errors, pair_losses
 from geoaffinity.operators.splits import seed_of
-from geoaffinity.runtime import CHUNK, cut
+from geoaffinity.runtime import cut, discard
 
 USER, ITEM = ["fold", "u"], ["fold", "d"]
 STEP_WIDTHS = [0.5 ** i for i in range(20)]  # 1, 1/2, ... while above 1e-6
@@ -42,6 +43,16 @@ class FactorModel:
     history: list[dict] = field(default_factory=list)
 
 
+@dataclass
+class Step:
+    """New factors, a report per fold, and the tables the factors are read from."""
+
+    users: DataFrame
+    items: DataFrame
+    report: dict[int, dict]
+    tables: tuple[DataFrame, DataFrame]
+
+
 def factor_init(ids: DataFrame, key: str, rank: int) -> DataFrame:
     """A random unit vector per (fold, id), decided by fold seed, kind and id."""
     f = random_unit_vector(rank, seed_of(F.col("fold")), key, F.col(key))
@@ -95,26 +106,15 @@ def mean_loss(samples: DataFrame, users: DataFrame, items: DataFrame,
         F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("samples"))
 
 
-def _over_pairs(term) -> Column:
-    """Sum ``term(used, unused)`` over the two lists of a rank chunk."""
-    return F.aggregate(
-        "pos", F.lit(0.0),
-        lambda total, i: F.aggregate("neg", total, lambda acc, j: acc + term(i, j)))
-
-
 def rank_loss(samples: DataFrame, users: DataFrame, items: DataFrame,
               rank: int | None = None) -> DataFrame:
     """Mean of ``-ln logistic(z_i - z_j)`` over used i and unused j of a user.
 
     Computed inside bounded list pairs, so no comparison becomes a row.
     """
-    scored = predict_scores(samples, users, items, rank)
-    chunks = rank_chunks(scored, extra=("z",))
-    pairs = F.size("pos").cast("bigint") * F.size("neg")
-    part = _over_pairs(lambda i, j: softplus(j["z"] - i["z"]))
-    sums = chunks.select("fold", part.alias("s"), pairs.alias("n"))
-    return sums.groupBy("fold").agg(
-        (F.sum("s") / F.sum("n")).alias("loss"), F.sum("n").alias("pairs"))
+    scored = predict_scores(samples, users, items, rank).withColumnRenamed("z", "z0")
+    return pair_losses(scored, ("z0",), [0.0], ["loss"]).select(
+        "fold", "loss", F.col("n").alias("pairs"))
 
 
 def point_terms(samples: DataFrame, users: DataFrame, items: DataFrame, rank: int) -> DataFrame:
@@ -132,22 +132,9 @@ def rank_errors(samples: DataFrame, users: DataFrame, items: DataFrame, rank: in
     unused item minus the sum of its g. The vector work that follows then runs
     over samples instead of over comparisons.
     """
-    chunks = rank_chunks(predict_scores(samples, users, items, rank), extra=("z",))
-
-    def slope(i, j):
-        return logistic(i["z"] - j["z"]) - F.lit(1.0)
-
-    used = F.transform("pos", lambda i: F.struct(
-        i["d"].alias("d"),
-        F.aggregate("neg", F.lit(0.0), lambda acc, j: acc + slope(i, j)).alias("e"),
-        F.size("neg").cast("bigint").alias("n"), F.size("neg").cast("bigint").alias("np")))
-    unused = F.transform("neg", lambda j: F.struct(
-        j["d"].alias("d"),
-        F.aggregate("pos", F.lit(0.0), lambda acc, i: acc - slope(i, j)).alias("e"),
-        F.size("pos").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("np")))
-    rows = chunks.select("fold", "u", F.explode(F.concat(used, unused)).alias("s"))
-    return rows.groupBy("fold", "u", F.col("s.d").alias("d")).agg(
-        F.sum("s.e").alias("e"), F.sum("s.n").alias("n"), F.sum("s.np").alias("np"))
+    rows = pair_errors(predict_scores(samples, users, items, rank))
+    return rows.groupBy("fold", "u", "d").agg(
+        F.sum("e").alias("e"), F.sum("n").alias("n"), F.sum("np").alias("np"))
 
 
 def rank_terms(errors: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -212,28 +199,31 @@ def graph_term(edges: DataFrame, users: DataFrame, rank: int) -> DataFrame:
         sum_vectors(F.col("v"), rank, F.col("pull")).alias("m"))
 
 
-def _by_fold(values: dict[int, float]) -> Column:
-    """A per-fold number as an expression."""
-    out = F.lit(None).cast("double")
-    for fold, value in values.items():
-        out = F.when(F.col("fold") == fold, F.lit(float(value))).otherwise(out)
-    return out
+def per_fold(spark, values: dict[int, Sequence[float]], names: Sequence[str]) -> DataFrame:
+    """Numbers of each fold as a table: one row per fold, so it may be broadcast.
+
+    As data, not as literals: the plan of every step is then the same text and
+    its generated code is compiled once.
+    """
+    rows = [(int(f), *(float(v) for v in vs)) for f, vs in values.items()]
+    schema = "fold int, " + ", ".join(f"{n} double" for n in names)
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def _inverse(norms: dict[int, float]) -> Column:
-    return _by_fold({f: (1.0 / v if v else 0.0) for f, v in norms.items()})
+def _inverse(value: float) -> float:
+    return 1.0 / value if value else 0.0
 
 
 def line_losses(samples: DataFrame, user_grad: DataFrame, item_grad: DataFrame,
-                mp: dict, mq: dict, rank: int, pairwise: bool) -> DataFrame:
+                scales: DataFrame, rank: int, pairwise: bool) -> DataFrame:
     """Loss at the current point (``l``) and after each candidate width (``l0``..).
 
     Moving by a width w changes a score to ``z0 - w z1 + w^2 z2``; the three
     numbers are computed once per sample and every width is tried in one pass.
+    ``scales`` holds the inverse gradient norms of each fold.
     """
-    p, g, q, h = (F.col(c) for c in "pgqh")
-    up, down = _inverse(mp), _inverse(mq)
-    scored = samples.join(item_grad, ITEM).join(user_grad, USER).select(
+    p, g, q, h, up, down = (F.col(c) for c in ("p", "g", "q", "h", "up", "down"))
+    scored = samples.join(item_grad, ITEM).join(user_grad, USER).join(scales, "fold").select(
         *samples.columns, dot(p, q, rank).alias("z0"),
         (dot(p, h, rank) * down + dot(g, q, rank) * up).alias("z1"),
         (dot(g, h, rank) * up * down).alias("z2"))
@@ -247,16 +237,7 @@ def line_losses(samples: DataFrame, user_grad: DataFrame, item_grad: DataFrame,
         return scored.groupBy("fold").agg(
             F.count(F.lit(1)).alias("n"), *[loss(w).alias(c) for c, w in zip(names, widths)])
 
-    def moved(s, w):
-        return s["z0"] - F.lit(w) * s["z1"] + F.lit(w * w) * s["z2"]
-
-    chunks = rank_chunks(scored, extra=("z0", "z1", "z2"))
-    pairs = F.size("pos").cast("bigint") * F.size("neg")
-    sums = chunks.select("fold", pairs.alias("n"), *[
-        _over_pairs(lambda i, j, w=w: softplus(moved(j, w) - moved(i, w))).alias(c)
-        for c, w in zip(names, widths)])
-    return sums.groupBy("fold").agg(
-        F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in names])
+    return pair_losses(scored, ("z0", "z1", "z2"), widths, names)
 
 
 def step_gradients(samples: DataFrame, users: DataFrame, items: DataFrame, options: FitOptions,
@@ -282,29 +263,32 @@ def _choose(row, slope: float) -> float:
 
 
 def one_step(samples: DataFrame, users: DataFrame, items: DataFrame, options: FitOptions,
-             edges: DataFrame | None = None, pairwise: bool = False):
-    """One gradient step of every fold: new users, new items, per-fold report."""
+             edges: DataFrame | None = None, pairwise: bool = False) -> Step:
+    """One gradient step of every fold."""
     rank = options.rank
     user_grad, item_grad = step_gradients(samples, users, items, options, edges, pairwise)
-    norms = gradient_norm(user_grad, item_grad, rank).collect()
-    mp, mq = {r.fold: r.mp for r in norms}, {r.fold: r.mq for r in norms}
+    norms = {r.fold: r for r in gradient_norm(user_grad, item_grad, rank).collect()}
+    scales = {f: (_inverse(r.mp), _inverse(r.mq)) for f, r in norms.items()}
+    spark = samples.sparkSession
+    losses = line_losses(samples, user_grad, item_grad, per_fold(spark, scales, ["up", "down"]),
+                         rank, pairwise)
     report = {}
-    for row in line_losses(samples, user_grad, item_grad, mp, mq, rank, pairwise).collect():
-        slope = options.c * (mp[row.fold] + mq[row.fold]) / row.n
+    for row in losses.collect():
+        slope = options.c * (norms[row.fold].mp + norms[row.fold].mq) / row.n
         width = _choose(row, slope)
         after = row["l"] if width == 0.0 else row[f"l{STEP_WIDTHS.index(width)}"]
         report[row.fold] = {"fold": row.fold, "width": width, "slope": slope,
                             "loss": row["l"], "loss_after": after}
-    widths = _by_fold({f: r["width"] for f, r in report.items()})
+    moves = per_fold(spark, {f: [r["width"] * s for s in scales[f]] for f, r in report.items()},
+                     ["by_user", "by_item"])
 
-    def moved(old, direction, inverse):
-        by = widths * inverse
-        return F.array(*[F.get(old, F.lit(i)) - by * F.get(direction, F.lit(i))
+    def moved(old, direction, by):
+        return F.array(*[F.get(old, F.lit(i)) - F.col(by) * F.get(direction, F.lit(i))
                          for i in range(rank)]).alias("f")
 
-    new_users = user_grad.select(*USER, moved("p", "g", _inverse(mp)))
-    new_items = item_grad.select(*ITEM, moved("q", "h", _inverse(mq)))
-    return new_users, new_items, report
+    new_users = user_grad.join(moves, "fold").select(*USER, moved("p", "g", "by_user"))
+    new_items = item_grad.join(moves, "fold").select(*ITEM, moved("q", "h", "by_item"))
+    return Step(new_users, new_items, report, (user_grad, item_grad))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -325,18 +309,21 @@ def fit(samples: DataFrame, options: FitOptions, edges: DataFrame | None = None,
     if pairwise:
         both = samples.groupBy(*USER).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
         samples = cut(samples.join(both.where(F.col("lo") < F.col("hi")), USER, "left_semi"))
-    users = factor_init(samples, "u", options.rank)
-    items = factor_init(samples, "d", options.rank)
-    done_users, done_items, history = [], [], []
-    for step in range(options.max_iter):
-        users, items, report = one_step(samples, users, items, options, edges, pairwise)
-        history += [{"step": step, **r} for _, r in sorted(report.items())]
+    users = cut(factor_init(samples, "u", options.rank))
+    items = cut(factor_init(samples, "d", options.rank))
+    done_users, done_items, history, old = [], [], [], (users, items)
+    for number in range(options.max_iter):
+        step = one_step(samples, users, items, options, edges, pairwise)
+        users, items, report = step.users, step.items, step.report
+        history += [{"step": number, **r} for _, r in sorted(report.items())]
+        discard(*old)
         finished = [f for f, r in report.items() if r["width"] * r["slope"] < options.tol]
         if finished:
             done_users.append(users.where(F.col("fold").isin(finished)))
             done_items.append(items.where(F.col("fold").isin(finished)))
             users, items, samples = (
                 df.where(~F.col("fold").isin(finished)) for df in (users, items, samples))
+        old = () if finished else step.tables
         if len(finished) == len(report):
             break
     return FactorModel(union_all([*done_users, users]), union_all([*done_items, items]), history)

@@ -107,8 +107,9 @@ def rank_chunks(samples: DataFrame, chunk: int = CHUNK, extra: tuple[str, ...] =
 
     One row per (fold, u) and combination of a piece of the used and a piece of
     the unused items, each list bounded by the piece size: every used item of
-    ``pos`` is compared with every unused one of ``neg``. Users without one of
-    the two kinds drop out. ``extra`` columns travel inside the lists.
+    ``pos`` is compared with every unused one of ``neg``. The comparisons stay
+    factored: unfolding both lists would give one row for each. Users without
+    one of the two kinds drop out. ``extra`` columns travel inside the lists.
     """
     keys = ["fold", "u"]
     sizes = (
@@ -135,7 +136,10 @@ def rank_chunks(samples: DataFrame, chunk: int = CHUNK, extra: tuple[str, ...] =
     )
 
 
-def rank_triples(samples: DataFrame) -> DataFrame:
-    """The comparisons as rows: user u prefers used item i over unused item j."""
-    used = rank_chunks(samples).select("fold", "u", "neg", F.explode("pos.d").alias("i"))
-    return used.select("fold", "u", "i", F.explode("neg.d").alias("j"))
+def rank_sample_counts(samples: DataFrame) -> DataFrame:
+    """How many unused items each used item is compared with, and their id sum."""
+    total = F.aggregate("neg.d", F.lit(0).cast("bigint"), lambda acc, d: acc + d)
+    part = rank_chunks(samples).select(
+        "fold", "u", F.explode("pos.d").alias("i"), F.size("neg").alias("n"), total.alias("s"))
+    return part.groupBy("fold", "u", "i").agg(
+        F.sum("n").alias("unused"), F.sum("s").alias("unused_sum"))

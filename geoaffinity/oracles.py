@@ -518,8 +518,8 @@ oracle("negatives_all", """SELECT 0::BIGINT AS fold, u, d, (CASE WHEN (u, d) IN
 THEN 1 ELSE 0 END)::BIGINT AS x FROM (SELECT DISTINCT u FROM pairs), (SELECT DISTINCT d FROM pairs)""", "pairs")
 oracle("sample_profile", """SELECT count(*) AS records, count(DISTINCT u) AS users, count(DISTINCT d) AS items,
 count(*) FILTER (x = 1) AS positives, count(*) FILTER (x = 0) AS negatives FROM samples""", "samples")
-oracle("rank_triples", """SELECT a.u, a.d AS i, b.d AS j FROM samples a JOIN samples b ON a.u = b.u
-WHERE a.x = 1 AND b.x = 0""", "samples")
+oracle("rank_triples", """SELECT a.u, a.d AS i, count(*) AS unused, sum(b.d)::BIGINT AS unused_sum
+FROM samples a JOIN samples b ON a.u = b.u WHERE a.x = 1 AND b.x = 0 GROUP BY a.u, a.d""", "samples")
 oracle("popularity_weight", "SELECT d, n, round(w, 9) AS w FROM weights", "weights")
 oracle("activity_scores", """SELECT 'item' AS kind, d AS id, count(*) AS cnt,
 round(1.0::DOUBLE / (1.0::DOUBLE + sqrt(count(*))), 9) AS w FROM inter GROUP BY d UNION ALL

@@ -434,7 +434,7 @@ def stratified_split(spark, sf):
 
 
 def _samples(spark, sf, times=1, mode="exact", folds=1):
-    data = fx.interactions(spark, sf, folds)
+    data = cut(fx.interactions(spark, sf, folds))
     return sampling.add_negatives(data, data.select("d").distinct(), times, mode)
 
 
@@ -469,8 +469,9 @@ def sample_profile(spark, sf):
 
 @query
 def rank_triples(spark, sf):
-    """Comparisons of the time split's training users, one item each way."""
-    return shape(sampling.rank_triples(_samples(spark, sf)), u="bigint", i="bigint", j="bigint")
+    """Used-unused comparisons of every user, summed up per used item."""
+    return shape(sampling.rank_sample_counts(_samples(spark, sf)), u="bigint", i="bigint",
+                 unused="bigint", unused_sum="bigint")
 
 
 @query
@@ -596,7 +597,7 @@ def factor_init(spark, sf):
 def _start(spark, sf):
     """Sampled data with the initial factors of all its users and items."""
     samples = cut(_samples(spark, sf))
-    return samples, *_factors(samples)
+    return samples, *[cut(f) for f in _factors(samples)]
 
 
 @query
@@ -671,13 +672,13 @@ def graph_term(spark, sf):
 @query
 def mf_one_step(spark, sf):
     """User factors after one step of the logistic model."""
-    users, _, _ = factor.one_step(*_start(spark, sf), OPTIONS)
-    return _elements(users, ["u"], "f", "v")
+    step = factor.one_step(*_start(spark, sf), OPTIONS)
+    return _elements(step.users, ["u"], "f", "v")
 
 
 @query
 def topn_by_factor(spark, sf):
-    data = fx.interactions(spark, sf)
+    data = cut(fx.interactions(spark, sf))
     users, items = _factors(data)
     best = evaluate.topn_by_factor(users, items, data.select("fold", "u", "d"), 10)
     return shape(best, u="bigint", d="bigint", score=6, rank="bigint")

@@ -2,7 +2,6 @@
 bounded chunks of large groups and salted joins.
 """
 
-import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -19,41 +18,59 @@ def stable_dir(spark: SparkSession) -> str:
     cluster a machine-local path would be lost together with its executor.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if not configured and not sc.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="geoaffinity-"))
-    return configured or sc.getCheckpointDir()
+        folder = tempfile.mkdtemp(prefix="geoaffinity-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{stable_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
-    stable_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
 
+    The table survives lost executors and ends the lineage. Unlike an opaque
+    checkpoint it has columns to prune and a measured size, by which the planner
+    decides whether a later join may broadcast it.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(stable_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if "/cut-" in folder:
+                path = hadoop.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ordered_prefix(df: DataFrame, order: Sequence[str], ascending: Sequence[bool] | None = None,
-                   value: str | None = None, partitions: int | None = None) -> DataFrame:
+                   value: str | None = None) -> DataFrame:
     """Add ``pos`` (0-based rank in a total order) and, with ``value``, its
     running sum ``prefix`` including the row itself.
 
     A global window would pull everything into one task. Here the rows are
     range-partitioned, numbered inside each range, and shifted by the totals of
     the ranges before it; only one row per range meets in a single task. The
-    ranges are written out before they are read twice.
+    ranges are written out before they are read twice. Adaptive execution may
+    merge neighbouring small ranges, which keeps their order.
     """
-    spark = df.sparkSession
     ascending = ascending or [True] * len(order)
     keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in zip(order, ascending)]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(
-        df.repartitionByRange(n, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_range", F.spark_partition_id())
     )
