@@ -12,17 +12,18 @@ EARTH_KM = 6372.8
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column,
               radius: float = EARTH_M) -> Column:
     """Great-circle distance of two points in degrees, in the unit of ``radius``."""
+    # pow(x, 2) and not x * x: the latter would put the whole operand into the
+    # generated code twice.
     half_lat = F.sin((F.radians(lat2) - F.radians(lat1)) / F.lit(2.0))
     half_lng = F.sin((F.radians(lng2) - F.radians(lng1)) / F.lit(2.0))
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * (
-        half_lng * half_lng
-    )
+    a = F.pow(half_lat, 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
+        half_lng, 2.0)
     return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
 def rms_distance(first: Column, second: Column) -> Column:
     """Root mean square of the two leg lengths of a two-place distance."""
-    return F.sqrt((first * first + second * second) / F.lit(2.0))
+    return F.sqrt((F.pow(first, 2.0) + F.pow(second, 2.0)) / F.lit(2.0))
 
 
 def block_size(distance: float, radius: float = EARTH_M) -> float:

@@ -14,7 +14,7 @@ from geoaffinity.functions import (dot, log_loss, logistic, norm2, random_unit_v
                                    sum_vectors)
 from geoaffinity.operators.pairwise import pair_errors, pair_losses
 from geoaffinity.operators.splits import seed_of
-from geoaffinity.runtime import cut, discard
+from geoaffinity.runtime import cut, discard, spread
 
 USER, ITEM = ["fold", "u"], ["fold", "d"]
 STEP_WIDTHS = [0.5 ** i for i in range(20)]  # 1, 1/2, ... while above 1e-6
@@ -305,10 +305,11 @@ def fit(samples: DataFrame, options: FitOptions, edges: DataFrame | None = None,
     ``edges`` (src, dst, score) adds the graph term, ``pairwise`` replaces the
     log-loss by the ranking loss over used and unused items of a user.
     """
-    samples = cut(samples)
     if pairwise:
         both = samples.groupBy(*USER).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        samples = cut(samples.join(both.where(F.col("lo") < F.col("hi")), USER, "left_semi"))
+        samples = samples.join(both.where(F.col("lo") < F.col("hi")), USER, "left_semi")
+    # Rows of a user lie together, so every later partial sum by user is short.
+    samples = cut(spread(samples, *USER))
     users = cut(factor_init(samples, "u", options.rank))
     items = cut(factor_init(samples, "d", options.rank))
     done_users, done_items, history, old = [], [], [], (users, items)

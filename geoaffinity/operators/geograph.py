@@ -16,7 +16,7 @@ from geoaffinity.runtime import cut, salted_join
 PLACE = ["hlat", "hlng", "wlat", "wlng"]
 OTHER = [f"o_{c}" for c in PLACE]
 CELL = ["hc_lat", "hc_lng", "wc_lat", "wc_lng"]
-DENSE = 4096   # sites per cell above which a smaller radius is tried first
+DENSE = 32     # sites per cell and wanted neighbour above which a smaller radius comes first
 SHRINKS = 10   # at most this many halvings of the radius
 STEPS = 20     # distance thresholds of a sweep
 STEP_KM = 0.1
@@ -96,8 +96,7 @@ def _leg(first: str, radius: float) -> Column:
 
 def squared_distance(radius: float = EARTH_M) -> Column:
     """Sum of the squared home and work distances of a row with both sites."""
-    home, work = _leg("h", radius), _leg("w", radius)
-    return home * home + work * work
+    return F.pow(_leg("h", radius), 2.0) + F.pow(_leg("w", radius), 2.0)
 
 
 def sites_of(places: DataFrame) -> DataFrame:
@@ -105,16 +104,39 @@ def sites_of(places: DataFrame) -> DataFrame:
     return places.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _on_sphere(df: DataFrame, lead: str = "") -> DataFrame:
+    """Add the two positions as points of the unit sphere, for a cheap first test."""
+    points = []
+    for place in "hw":
+        lat, lng = (F.radians(f"{lead}{place}{c}") for c in ("lat", "lng"))
+        points += [(F.cos(lat) * F.cos(lng)).alias(f"{lead}{place}x"),
+                   (F.cos(lat) * F.sin(lng)).alias(f"{lead}{place}y"),
+                   F.sin(lat).alias(f"{lead}{place}z")]
+    return df.select("*", *points)
+
+
+def _squared_chords() -> Column:
+    total = F.lit(0.0)
+    for axis in ("hx", "hy", "hz", "wx", "wy", "wz"):
+        total = total + F.pow(F.col(axis) - F.col(f"o_{axis}"), 2.0)
+    return total
+
+
 def _within(queries: DataFrame, sites: DataFrame, distance: float) -> DataFrame:
     """Query sites beside every site with ``dH^2 + dW^2 <= 2 distance^2``, d2 added.
 
-    ``sites`` columns other than the position get the prefix ``o_``.
+    ``sites`` columns other than the position get the prefix ``o_``. A chord is
+    never longer than its arc, so comparing chords first rejects most candidates
+    with a few multiplications; the exact distance decides on the rest.
     """
     grid = _Grid(math.sqrt(2.0) * distance)
-    targets = grid.own(sites.select([F.col(c).alias(f"o_{c}") for c in sites.columns]), OTHER)
-    met = salted_join(grid.touched(queries), targets, CELL, OTHER)
-    return met.withColumn("d2", squared_distance()).where(
-        F.col("d2") <= 2.0 * distance * distance).drop(*CELL)
+    others = sites.select([F.col(c).alias(f"o_{c}") for c in sites.columns])
+    targets = grid.own(_on_sphere(others, "o_"), OTHER)
+    met = salted_join(grid.touched(_on_sphere(queries)), targets, CELL, OTHER)
+    limit = 2.0 * distance * distance
+    chords = limit / (EARTH_M * EARTH_M) * (1.0 + 1e-6) + 1e-15
+    near = met.where((_squared_chords() <= F.lit(chords)) & (squared_distance() <= F.lit(limit)))
+    return near.select(*queries.columns, *others.columns, squared_distance().alias("d2"))
 
 
 def geo_pairs(places: DataFrame, distance: float) -> DataFrame:
@@ -150,13 +172,13 @@ def _nearest(queries: DataFrame, sites: DataFrame, distance: float, keep: int) -
     return lists.select(*PLACE, F.slice(F.array_sort(flat), 1, keep).alias("near"))
 
 
-def _radii(sites: DataFrame, distance: float) -> list[float]:
+def _radii(sites: DataFrame, distance: float, keep: int) -> list[float]:
     """Radii to try, smallest first, chosen by the fullest cell of the grid."""
     radii = [float(distance)]
     for _ in range(SHRINKS):
         cells = _Grid(math.sqrt(2.0) * radii[0]).own(sites, PLACE).groupBy(*CELL)
         fullest = cells.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if (fullest or 0) <= DENSE:
+        if (fullest or 0) <= DENSE * keep:
             break
         radii.insert(0, radii[0] / 2.0)
     return radii
@@ -168,7 +190,7 @@ def _neighbor_lists(places: DataFrame, distance: float, k: int) -> DataFrame:
     members = places.select("u", *PLACE).withColumn("r", F.row_number().over(first))
     sites = cut(members.where(F.col("r") <= k + 1).groupBy(*PLACE).agg(
         F.array_sort(F.collect_list("u")).alias("ids")))
-    radii = _radii(sites, distance)
+    radii = _radii(sites, distance, k + 1)
     todo, found = sites.select(*PLACE), None
     for radius in radii:
         near = _nearest(todo, sites, radius, k + 1)

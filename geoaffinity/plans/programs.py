@@ -43,7 +43,7 @@ class NumberedUsage:
 def number_usage(history: DataFrame, rate: float, max_runs: int = 5,
                  tz: str = "UTC") -> NumberedUsage:
     """Normal users' usage of the devices covering ``rate`` of it, densely numbered."""
-    kept = catalog.normal_usage(history, max_runs)
+    kept = cut(catalog.normal_usage(history, max_runs))
     devices = cut(catalog.coverage_devices(kept, rate))
     covered = catalog.covered_usage(kept, devices)
     users = catalog.numbered_users(covered)
@@ -148,7 +148,7 @@ def als_model(interactions: DataFrame, times: int = 1, rank: int = 20, reg: floa
 
 def popular_model(interactions: DataFrame, alpha: float = 0.8, n: int = 10) -> DataFrame:
     """Everyone gets the same most popular items, used or not."""
-    train, valid = _parts(splits.stratified_split(interactions, alpha))
+    train, valid = _parts(cut(splits.stratified_split(interactions, alpha)))
     truth = splits.changed_users(train, valid)
     top = itemcf.popular_items(train, n).select("fold", "d", "rank")
     lists = truth.select("fold", "u").distinct().join(top, "fold")

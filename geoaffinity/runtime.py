@@ -45,6 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by ``keys`` into the session's number of shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for df in tables:
@@ -112,7 +118,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
 
     A key with more than ``hot`` right rows is split into pieces: the right
     rows are dealt out by a hash of ``salt_by``, the left rows repeated once
-    per piece. Every pair is still produced exactly once.
+    per piece. Every pair is still produced exactly once. The join is a sort-merge
+    join on purpose: it multiplies rows, so its work has to be spread by key even
+    when one side alone is small enough to broadcast.
     """
     keys = list(keys)
     pieces = (
@@ -125,4 +133,4 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
         "_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_pieces")
     rights = right.join(pieces, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*salt_by), one).cast("int")).drop("_pieces")
-    return lefts.join(rights, [*keys, "_salt"]).drop("_salt")
+    return lefts.join(rights.hint("merge"), [*keys, "_salt"]).drop("_salt")

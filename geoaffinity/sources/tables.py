@@ -31,13 +31,14 @@ def read_text(spark: SparkSession, table: str, path: str | Sequence[str]) -> Dat
     failing the job; ``shard`` names the file it came from.
     """
     sep, schema = TEXT_TABLES[table]
-    return (
-        spark.read.schema(f"{schema}, {BAD} STRING")
-        .option("sep", sep).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD)
-        .csv(path if isinstance(path, str) else list(path))
-        .withColumn("shard", F.col("_metadata.file_name"))
-    )
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        "value", F.col("_metadata.file_name").alias("shard"))
+    # Parsed line by line, so that a row is judged by all of its columns even
+    # when a query reads only some of them.
+    return lines.select(
+        F.from_csv("value", f"{schema}, {BAD} STRING", options).alias("row"), "shard"
+    ).select("row.*", "shard")
 
 
 def well_formed(scan: DataFrame) -> DataFrame:
