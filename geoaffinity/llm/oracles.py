@@ -1,5 +1,21 @@
 """The queries of the subpackage in DuckDB SQL, where SQL can express them."""
 
+from .chat import BEGIN, CONTROL, FRAMES, OTHER
+
+
+def _escaped(text: str) -> str:
+    """SQL for the length of an escaped text: each backslash and each control string adds to it."""
+    sql = f"replace({text}, '\\', '\\\\')"
+    for c in CONTROL:
+        sql = f"replace({sql}, '{c}', '{c[0]}\\|{c[1:]}')"
+    return f"length({sql})"
+
+
+def _framed() -> str:
+    known = " ".join(f"WHEN role = '{r}' THEN {len(a) + len(b)}" for r, (a, b) in FRAMES.items())
+    return f"CASE {known} ELSE {sum(map(len, OTHER))} + {_escaped('role')} END + {_escaped('text')}"
+
+
 ORACLES = {
     "op1_exact_dedup": r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -35,5 +51,41 @@ WITH d AS (SELECT doc_id, source,
 SELECT doc_id, size, source_size, target,
        (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
 FROM r
+""",
+    "op3_decontamination": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     win AS (SELECT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+             FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+                   FROM iw WHERE len(w) > 0)),
+     lens AS (SELECT DISTINCT k FROM win),
+     dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                  FROM dw, lens WHERE len(w) >= k)),
+     hits AS (SELECT DISTINCT dg.doc_id, dg.i, dg.k, win.item_id FROM dg JOIN win ON dg.g = win.g AND dg.k = win.k),
+     hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hits))
+            GROUP BY doc_id),
+     hi AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+""",
+    "op10_chat_format": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM (SELECT conv_id, turn, role, text FROM conversations
+                 UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                                  (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       ({len(BEGIN)} + sum({_framed()}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
 """,
 }
