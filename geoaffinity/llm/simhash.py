@@ -205,10 +205,17 @@ def one_per_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """The document with the smallest id of each group of near copies (a null id comes last),
     columns as in ``docs``. Of repeated rows one stays."""
     found = near_copies(docs, doc_id=doc_id, text=text, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k")
-    stay = cut(found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("_stay_id"),
-                                                        F.col("k.text_key").alias("_stay_key")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("k")
+    stay = cut(found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy("root").agg(first).select(F.col("k.doc_id").alias("_stay_id"),
+                                                  F.col("k.text_key").alias("_stay_key"), "k.n"))
     rows = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
-    kept = rows.join(stay, rows[doc_id].eqNullSafe(stay["_stay_id"])
-                     & (rows["_text_key"] == stay["_stay_key"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "_text_key"]).select(*docs.columns)
+
+    def picked(some: DataFrame) -> DataFrame:
+        return rows.join(some, rows[doc_id].eqNullSafe(some["_stay_id"])
+                         & (rows["_text_key"] == some["_stay_key"]), "left_semi")
+
+    kept, repeated = picked(stay.where("n = 1")), stay.where("n > 1")
+    if not repeated.isEmpty():  # rows equal in id and text
+        kept = kept.unionByName(picked(repeated).dropDuplicates([doc_id, "_text_key"]))
+    return kept.select(*docs.columns)
