@@ -1,72 +1,90 @@
 """Top-n lists from factors, and precision / recall / F1 at k."""
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from geoaffinity.functions import f1_score
 
 BLOCK = 2048  # users or items of one block; bounds the score matrix of a task
 
-ITEM, USER, USED = 0, 1, 2
-
-
-def _score_block(n: int):
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = pdf["kind"].to_numpy()
-        items = pdf[kind == ITEM].sort_values("d")
-        users = pdf[kind == USER].sort_values("u")
-        if items.empty or users.empty:
-            return pd.DataFrame({"fold": [], "u": [], "d": [], "score": []})
-        ds, us = items["d"].to_numpy(), users["u"].to_numpy()
-        z = np.stack(users["f"].to_list()) @ np.stack(items["f"].to_list()).T
-        used = pdf[kind == USED]
-        if not used.empty:
-            row = np.searchsorted(us, used["u"].to_numpy())
-            col = np.searchsorted(ds, used["d"].to_numpy())
-            row, col = np.minimum(row, len(us) - 1), np.minimum(col, len(ds) - 1)
-            real = (us[row] == used["u"].to_numpy()) & (ds[col] == used["d"].to_numpy())
-            z[row[real], col[real]] = -np.inf
-        best = np.argsort(-z, axis=1, kind="stable")[:, :n]
-        top = np.take_along_axis(z, best, axis=1)
-        out = pd.DataFrame({
-            "fold": int(pdf["fold"].iloc[0]), "u": np.repeat(us, best.shape[1]),
-            "d": ds[best].ravel(), "score": top.ravel()})
-        return out[np.isfinite(out["score"])]
-
-    return score
+
+def _best(z: np.ndarray, usable: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``n`` best usable scores of each row, ties to the smaller column."""
+    z = np.where(usable, z, -np.inf)
+    if z.shape[1] > n:  # everything from the n-th best score on
+        least = np.partition(z, z.shape[1] - n, axis=1)[:, z.shape[1] - n, None]
+        usable = usable & (z >= least)
+    row, col = np.nonzero(usable)
+    order = np.lexsort((col, -z[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < n
+    return row[keep], col[keep]
+
+
+def _score_blocks(n: int):
+    def unpack(lists: pa.ListArray, i: int, key: str) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+        rows = lists[i].values
+        f = rows.field("f")
+        return np.asarray(rows.field(key)), np.asarray(f.flatten()).reshape(len(rows), -1), rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                us, p, rows = unpack(batch.column("users"), i, "u")
+                ds, q, _ = unpack(batch.column("items"), i, "d")
+                z = p @ q.T
+                if not np.isfinite(z).all():
+                    raise ValueError("a score is not finite: the factors have diverged")
+                usable = np.ones(z.shape, bool)
+                used = rows.field("used")
+                gone = np.asarray(used.flatten())
+                at = np.repeat(np.arange(len(us)), np.diff(np.asarray(used.offsets)))
+                col = np.minimum(np.searchsorted(ds, gone), len(ds) - 1)
+                real = ds[col] == gone
+                usable[at[real], col[real]] = False
+                row, col = _best(z, usable, n)
+                fold = pa.array(np.full(len(row), batch.column("fold")[i].as_py(), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [fold, pa.array(us[row]), pa.array(ds[col]), pa.array(z[row, col])],
+                    names=["fold", "u", "d", "score"])
+
+    return run
+
+
+def _packed(rows: DataFrame, key: str, block: int, name: str, *extra: str) -> DataFrame:
+    """Blocks of about ``block`` rows of a fold, each packed into one row sorted by ``key``."""
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")
+    sizes = rows.groupBy("fold").agg(blocks)  # one row per fold
+    own = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
+    packed = F.sort_array(F.collect_list(F.struct(key, "f", *extra))).alias(name)
+    return rows.join(F.broadcast(sizes), "fold").withColumn("block", own).groupBy("fold", "block").agg(packed)
 
 
 def topn_by_factor(users: DataFrame, items: DataFrame, used: DataFrame, n: int = 10,
                    block: int = BLOCK) -> DataFrame:
     """The ``n`` unused items with the highest score ``p . q`` for each user.
 
-    ``users`` (fold, u, f) should hold only users that are evaluated. Users and
-    items are dealt into blocks; a task scores one user block against one item
-    block as a matrix product and returns ``n`` rows per user, never all pairs.
+    ``users`` (fold, u, f) should hold only users that are evaluated. Users, with what they have
+    used, and items are packed into blocks, a block being one row. Each user block meets each item block
+    of its fold as a matrix product; of that only ``n`` items per user leave the task. The planner broadcasts item
+    blocks that measure small; otherwise packed user blocks travel to the item blocks. A score that
+    is not finite is an error.
     """
-    def blocks(df):
-        size = F.count(F.lit(1)) / F.lit(float(block))
-        return F.greatest(F.lit(1), F.ceil(df.agg(size).scalar()).cast("int"))
-
-    nu, ni = blocks(users), blocks(items)
-    ub = F.pmod(F.xxhash64(F.col("u").cast("bigint")), nu).cast("int")
-    ib = F.pmod(F.xxhash64(F.col("d").cast("bigint")), ni).cast("int")
-    u, d = F.col("u").cast("bigint"), F.col("d").cast("bigint")
-    none = F.lit(None)
-    left = users.select(
-        F.lit(USER).alias("kind"), "fold", ub.alias("ub"),
-        F.explode(F.sequence(F.lit(0), ni - 1)).alias("ib"),
-        u.alias("u"), none.cast("bigint").alias("d"), "f")
-    right = items.select(
-        F.lit(ITEM).alias("kind"), "fold", F.explode(F.sequence(F.lit(0), nu - 1)).alias("ub"),
-        ib.alias("ib"), none.cast("bigint").alias("u"), d.alias("d"), "f")
-    gone = used.join(users.select("fold", "u"), ["fold", "u"], "left_semi").select(
-        F.lit(USED).alias("kind"), "fold", ub.alias("ub"), ib.alias("ib"),
-        u.alias("u"), d.alias("d"), none.cast("array<double>").alias("f"))
-    tiles = left.unionByName(right).unionByName(gone)
-    best = tiles.groupBy("fold", "ub", "ib").applyInPandas(
-        _score_block(n), "fold int, u bigint, d bigint, score double")
+    big = [F.col(c).cast("bigint").alias(c) for c in ("u", "d")]
+    gone = used.select("fold", *big).groupBy("fold", "u").agg(F.collect_list("d").alias("used"))
+    none = F.array().cast("array<bigint>")
+    asked = users.select("fold", big[0], "f").join(gone, ["fold", "u"], "left").withColumn(
+        "used", F.coalesce("used", none))
+    goods = _packed(items.select("fold", big[1], "f"), "d", block, "items").withColumnRenamed("block", "ib")
+    many = goods.groupBy("fold").agg(F.collect_list("ib").alias("ibs"))  # one row per fold
+    people = _packed(asked, "u", block, "users", "used").join(F.broadcast(many), "fold").select(
+        "fold", "users", F.explode("ibs").alias("ib"))
+    best = people.join(goods, ["fold", "ib"]).select("fold", "users", "items").mapInArrow(
+        _score_blocks(n), "fold int, u bigint, d bigint, score double")
     order = W.partitionBy("fold", "u").orderBy(F.desc("score"), "d")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

@@ -66,7 +66,7 @@ def popularity_weight(positives: DataFrame, c0: float = 1.0, alpha: float = 0.5)
         F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("fold").agg(F.sum("n").alias("total"))
     w = F.lit(float(c0)) * F.pow("n", F.lit(float(alpha))) / F.pow("total", F.lit(float(alpha)))
-    return counts.join(totals, "fold").select(*ITEM, "n", w.alias("w"))
+    return counts.join(F.broadcast(totals), "fold").select(*ITEM, "n", w.alias("w"))
 
 
 def weigh_negatives(samples: DataFrame, weights: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def gradient_norm(user_grad: DataFrame, item_grad: DataFrame, rank: int) -> Data
     """Total Euclidean norm of the user and of the item gradient per fold."""
     up = user_grad.groupBy("fold").agg(F.sqrt(F.sum(norm2(F.col("g"), rank))).alias("mp"))
     down = item_grad.groupBy("fold").agg(F.sqrt(F.sum(norm2(F.col("h"), rank))).alias("mq"))
-    return up.join(down, "fold")
+    return up.join(F.broadcast(down), "fold")
 
 
 def graph_term(edges: DataFrame, users: DataFrame, rank: int) -> DataFrame:
@@ -244,13 +244,16 @@ def step_gradients(samples: DataFrame, users: DataFrame, items: DataFrame, optio
                    edges: DataFrame | None = None, pairwise: bool = False):
     """Both gradients at the given factors, as lineage-free tables."""
     rank = options.rank
+    errors = cut(rank_errors(samples, users, items, rank)) if pairwise else None
     if pairwise:
-        terms = rank_terms(cut(rank_errors(samples, users, items, rank)), users, items)
+        terms = rank_terms(errors, users, items)
     else:
         terms = point_terms(samples, users, items, rank)
     graph = graph_term(edges, users, rank) if edges is not None else None
     user_grad = cut(user_gradient(terms, users, options.lp, rank, graph, options.lg))
     item_grad = cut(item_gradient(terms, items, options.lq, rank))
+    if pairwise:
+        discard(errors)
     return user_grad, item_grad
 
 
@@ -299,15 +302,14 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def fit(samples: DataFrame, options: FitOptions, edges: DataFrame | None = None,
-        pairwise: bool = False) -> FactorModel:
+        pairwise: bool = False, watch: DataFrame | None = None) -> FactorModel:
     """Train on (fold, u, d, x[, w]); every fold is trained in the same jobs.
 
     ``edges`` (src, dst, score) adds the graph term, ``pairwise`` replaces the
-    log-loss by the ranking loss over used and unused items of a user.
+    log-loss by the ranking loss over used and unused items of a user; users with only
+    one of the two kinds compare nothing and should be left out. With ``watch``, further rows of the
+    same form, ``history`` holds their mean loss after each step.
     """
-    if pairwise:
-        both = samples.groupBy(*USER).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        samples = samples.join(both.where(F.col("lo") < F.col("hi")), USER, "left_semi")
     # Rows of a user lie together, so every later partial sum by user is short.
     samples = cut(spread(samples, *USER))
     users = cut(factor_init(samples, "u", options.rank))
@@ -316,7 +318,11 @@ def fit(samples: DataFrame, options: FitOptions, edges: DataFrame | None = None,
     for number in range(options.max_iter):
         step = one_step(samples, users, items, options, edges, pairwise)
         users, items, report = step.users, step.items, step.report
-        history += [{"step": number, **r} for _, r in sorted(report.items())]
+        seen = {}
+        if watch is not None:  # held-out rows are scored, not learned from
+            loss = rank_loss if pairwise else mean_loss
+            seen = {r.fold: r.loss for r in loss(watch, users, items, options.rank).collect()}
+        history += [{"step": number, **r, "watched_loss": seen.get(f)} for f, r in sorted(report.items())]
         discard(*old)
         finished = [f for f, r in report.items() if r["width"] * r["slope"] < options.tol]
         if finished:

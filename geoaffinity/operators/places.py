@@ -5,11 +5,12 @@ with very many positions is spread over many rows and tasks.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoaffinity.functions import haversine
-from geoaffinity.runtime import CHUNK, chunk_count, cut
+from geoaffinity.runtime import CHUNK, chunk_count, cut, discard
 
 WHO = ["place_type", "user"]
 
@@ -99,86 +100,47 @@ def densest_positions(counts: DataFrame, h: float, chunk: int = CHUNK) -> DataFr
     return place_density(counts, h, chunk).groupBy(*WHO).agg(best).select(*WHO, "b.lat", "b.lng")
 
 
-def _shift_in_row(points: Column, lat: Column, lng: Column, h: float, delta: float,
-                  max_iter: int) -> Column:
-    """Run the whole search of one user over its point list, as a fold."""
-    state = "struct<lat:double,lng:double,done:boolean,steps:int>"
-
-    def step(s, _):
-        def weigh(p):
-            far = haversine(s["lat"], s["lng"], p["lat"], p["lng"])
-            return F.struct(
-                p["lat"].alias("lat"), p["lng"].alias("lng"),
-                F.when(far <= h, p["cnt"] * _kernel(far, h)).otherwise(F.lit(0.0)).alias("w"))
-
-        sums = F.aggregate(
-            F.transform(points, weigh),
-            F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng")),
-            lambda a, p: F.struct(
-                (a["w"] + p["w"]).alias("w"),
-                (a["lat"] + p["w"] * p["lat"]).alias("lat"),
-                (a["lng"] + p["w"] * p["lng"]).alias("lng")),
-            lambda a: F.struct(
-                (a["lat"] / F.nullif(a["w"], F.lit(0.0))).alias("lat"),
-                (a["lng"] / F.nullif(a["w"], F.lit(0.0))).alias("lng")))
-        move = F.sqrt(F.pow(sums["lat"] - s["lat"], 2.0) + F.pow(sums["lng"] - s["lng"], 2.0))
-        moved = F.struct(sums["lat"].alias("lat"), sums["lng"].alias("lng"),
-                         (move.isNull() | (move < delta)).alias("done"),
-                         (s["steps"] + 1).alias("steps")).cast(state)
-        return F.when(s["done"], s).otherwise(moved)
-
-    start = F.struct(lat.alias("lat"), lng.alias("lng"), F.lit(False).alias("done"),
-                     F.lit(0).alias("steps")).cast(state)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), start, step)
-
-
-def _shift_by_joins(points: DataFrame, starts: DataFrame, h: float, delta: float,
-                    max_iter: int) -> DataFrame:
-    """The same search for users with many positions: one aggregation a step."""
-    state = cut(starts.select(*WHO, "lat", "lng", F.lit(False).alias("done"),
-                              F.lit(0).alias("steps")))
-    for _ in range(max_iter):
-        active = state.where(~F.col("done"))
-        if active.isEmpty():
-            break
-        centers = active.select(*WHO, F.col("lat").alias("clat"), F.col("lng").alias("clng"),
-                                "steps")
-        w = F.col("cnt") * _kernel(F.col("dist_m"), h)
-        near = place_neighbors(centers, points, h).withColumn("w", w)
-        means = near.groupBy(*WHO).agg(
-            (F.sum(F.col("w") * F.col("lat")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("lat"),
-            (F.sum(F.col("w") * F.col("lng")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("lng"))
-        move = F.sqrt(F.pow(F.col("lat") - F.col("clat"), 2.0)
-                      + F.pow(F.col("lng") - F.col("clng"), 2.0))
-        moved = centers.join(means, WHO, "left").select(
-            *WHO, "lat", "lng", (move.isNull() | (move < delta)).alias("done"),
-            (F.col("steps") + 1).alias("steps"))
-        state = cut(state.where("done").unionByName(moved))
-    return state
-
-
-def semantic_place(counts: DataFrame, h: float, delta: float = 1e-5, max_iter: int = 100,
-                   light: int = 1024) -> DataFrame:
+def _shift(points: DataFrame, centers: DataFrame, h: float, delta: float) -> DataFrame:
+    """One weighted mean for each centre; done once it moves by less than ``delta``.
+
+    The distance of a position is computed once. Sums are pre-aggregated where the rows are, so a
+    user with very many positions costs partial sums and not a task.
+    """
+    w = F.col("cnt") * _kernel(F.col("dist_m"), h)
+    near = place_neighbors(centers, points, h).select(
+        *WHO, "lat", "lng", w.alias("w"))
+    means = near.groupBy(*WHO).agg(
+        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("lat")).alias("y"),
+        F.sum(F.col("w") * F.col("lng")).alias("x")).select(
+        *WHO, (F.col("y") / F.nullif("w", F.lit(0.0))).alias("lat"),
+        (F.col("x") / F.nullif("w", F.lit(0.0))).alias("lng"))
+    move = F.sqrt(F.pow(F.col("lat") - F.col("clat"), 2.0) + F.pow(F.col("lng") - F.col("clng"), 2.0))
+    return centers.join(means, WHO, "left").select(
+        *WHO, "lat", "lng", (move.isNull() | (move < delta)).alias("done"),
+        (F.col("steps") + 1).alias("steps"))
+
+
+def semantic_place(counts: DataFrame, h: float, delta: float = 1e-5,
+                   max_iter: int | None = None) -> DataFrame:
     """Home / work place of each user: the mode reached from the densest position.
 
-    Repeats the weighted mean of the positions within ``h`` metres until it moves
-    by less than ``delta`` degrees. Users with up to ``light`` positions are
-    searched inside one row; larger ones by joins, so no task holds them whole.
+    Repeats the weighted mean of the positions within ``h`` metres until it moves by less than
+    ``delta`` degrees. All users take the same way; a step looks only at those that still move, and the search
+    goes on until none is left. ``max_iter`` ends it early; ``done`` tells which places have settled.
     """
-    sizes = counts.groupBy(*WHO).agg(F.count(F.lit(1)).alias("n"))
-    starts = densest_positions(counts, h)
-    small = counts.join(sizes.where(F.col("n") <= light), WHO, "left_semi")
-    lists = small.groupBy(*WHO).agg(
-        F.array_sort(F.collect_list(F.struct("lat", "lng", "cnt"))).alias("points"))
-    end = _shift_in_row(F.col("points"), F.col("lat"), F.col("lng"), h, delta, max_iter)
-    done = lists.join(starts, WHO).withColumn("s", end).select(
-        *WHO, "s.lat", "s.lng", "s.steps")
-    heavy = sizes.where(F.col("n") > light)
-    if heavy.isEmpty():
-        return done
-    large = counts.join(heavy, WHO, "left_semi")
-    late = _shift_by_joins(large, starts.join(heavy, WHO, "left_semi"), h, delta, max_iter)
-    return done.unionByName(late.select(*WHO, "lat", "lng", "steps"))
+    counts = cut(counts)
+    moving = cut(densest_positions(counts, h).withColumn("steps", F.lit(0)))
+    parts, steps = [], 0
+    while True:
+        centers = moving.select(*WHO, F.col("lat").alias("clat"), F.col("lng").alias("clng"), "steps")
+        state, steps = cut(_shift(counts, centers, h, delta)), steps + 1
+        discard(moving)
+        moving = state.where(~F.col("done"))
+        if steps == max_iter or moving.isEmpty():
+            break
+        parts.append(state.where("done"))
+        moving = cut(moving)
+    return reduce(DataFrame.unionByName, [*parts, state]).select(*WHO, "lat", "lng", "steps", "done")
 
 
 def user_places(semantic: DataFrame, users: DataFrame | None = None) -> DataFrame:

@@ -31,7 +31,8 @@ def add_negatives(positives: DataFrame, items: DataFrame, times: int,
                   mode: str = "exact") -> DataFrame:
     """Positives (x = 1) plus items the user has not used (x = 0).
 
-    ``times = 0``: positives only. ``times = -1``: every unused item. Otherwise,
+    ``times = 0``: positives only. ``times = -1``: every unused item, as rows, which grow with
+    users x items (``unused_counts`` keeps them factored). Otherwise,
     for a user with c positives and N unused items, ``exact`` gives
     ``min(times c, N)`` unused items without replacement; ``bernoulli`` draws
     about as many by chance and keeps the first ``times c`` in item order.
@@ -82,6 +83,18 @@ def add_negatives(positives: DataFrame, items: DataFrame, times: int,
     return base.unionByName(unused.select(*keys, "d", F.lit(0).alias("x")))
 
 
+def unused_counts(positives: DataFrame, items: DataFrame) -> DataFrame:
+    """All unused items of every user in factored form: fold, u, how many there are and the
+    sum of their ids. No user-item pair becomes a row: a user's unused items are all items
+    without the used ones."""
+    every = items.select("d").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s")).first()
+    known = positives.select("fold", "u", "d").join(items.select("d").distinct(), "d", "left_semi").distinct()
+    own = known.groupBy("fold", "u").agg(F.count(F.lit(1)).alias("c"), F.sum("d").alias("t"))
+    return positives.select("fold", "u").distinct().join(own, ["fold", "u"], "left").select(
+        "fold", "u", (F.lit(every["n"]) - F.coalesce("c", F.lit(0))).alias("unused"),
+        (F.lit(every["s"] or 0) - F.coalesce("t", F.lit(0))).alias("unused_sum"))
+
+
 def _first_of_walk(walk: DataFrame, keys: list[str], order: str, want) -> DataFrame:
     """Rows whose rank by ``order`` inside the user is at most ``want``.
 

@@ -65,7 +65,7 @@ def stratified_split(data: DataFrame, alpha: float = 0.8, by_label: bool = False
     draw = hash_uniform(*keys, F.col("u"), F.col("d"))
     held_out = (F.col("_c") > 1) & (draw < F.col("_beta"))
     return (
-        data.join(per_user, [*strata, "u"]).join(beta, strata)
+        data.join(per_user, [*strata, "u"]).join(F.broadcast(beta), strata)  # a row per fold and label
         .withColumn("part", F.when(held_out, "valid").otherwise("train"))
         .select(*data.columns, "part")
     )

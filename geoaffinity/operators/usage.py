@@ -1,12 +1,15 @@
 """From raw sightings to one device per day and a device-change history."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from geoaffinity.functions import day_of, hour_of, in_days, weekday_of
 
 # The study period of the raw log, inclusive.
 STUDY_DAYS = ("20161023", "20170215")
 
+# Night is before / since these hours, office hours are inclusive.
+NIGHT, OFFICE = (8, 20), (9, 16)
+
 
 def valid_sightings(sightings: DataFrame, cells: DataFrame, devices: DataFrame,
                     days: tuple[str, str] = STUDY_DAYS, tz: str = "UTC") -> DataFrame:
@@ -14,15 +17,16 @@ def valid_sightings(sightings: DataFrame, cells: DataFrame, devices: DataFrame,
 
     The device number is cut to its 8-character code. Both dimension joins are
     semi-joins without a hint: Spark broadcasts a dimension that is measured to
-    be small and shuffles it otherwise.
+    be small and shuffles it otherwise. The shard of a sighting is kept if it has one.
     """
+    shard = [c for c in sightings.columns if c == "shard"]
     return (
         sightings.where(in_days(F.col("second"), *days, tz))
         .select("second", "user", F.substring("imei", 1, 8).alias("tac"), "cell",
-                day_of(F.col("second"), tz).alias("day"))
+                day_of(F.col("second"), tz).alias("day"), *shard)
         .join(cells, "cell", "left_semi")
         .join(devices, "tac", "left_semi")
-        .select("second", "user", "tac", "cell", "day")
+        .select("second", "user", "tac", "cell", "day", *shard)
     )
 
 
@@ -36,25 +40,31 @@ def context_sightings(valid: DataFrame, cells: DataFrame, tz: str = "UTC") -> Da
     )
 
 
-def home_sightings(context: DataFrame, before: int = 8, since: int = 20) -> DataFrame:
+def _home(night: tuple[int, int]) -> Column:
+    before, since = night
+    return (F.col("hour") < before) | (F.col("hour") >= since)
+
+
+def _work(office: tuple[int, int]) -> Column:
+    return (F.col("wday") < 5) & F.col("hour").between(*office)
+
+
+def home_sightings(context: DataFrame, before: int = NIGHT[0], since: int = NIGHT[1]) -> DataFrame:
     """Night hours of any day."""
-    return context.where((F.col("hour") < before) | (F.col("hour") >= since))
+    return context.where(_home((before, since)))
 
 
-def work_sightings(context: DataFrame, first: int = 9, last: int = 16) -> DataFrame:
+def work_sightings(context: DataFrame, first: int = OFFICE[0], last: int = OFFICE[1]) -> DataFrame:
     """Office hours (both ends included) of Monday to Friday."""
-    return context.where((F.col("wday") < 5) & F.col("hour").between(first, last))
+    return context.where(_work((first, last)))
 
 
-def place_sightings(context: DataFrame) -> DataFrame:
-    """Home and work sightings in one pass, told apart by ``place_type``.
-
-    A sighting matches at most one of the two rules, so no union is needed.
-    """
-    home = (F.col("hour") < 8) | (F.col("hour") >= 20)
-    work = (F.col("wday") < 5) & F.col("hour").between(9, 16)
-    kind = F.when(home, "home").when(work, "work")
-    return context.withColumn("place_type", kind).where(F.col("place_type").isNotNull())
+def place_sightings(context: DataFrame, night: tuple[int, int] = NIGHT,
+                    office: tuple[int, int] = OFFICE) -> DataFrame:
+    """Home and work sightings in one pass, told apart by ``place_type``; a sighting
+    that fits both rules counts for both."""
+    kinds = F.array_compact(F.array(F.when(_home(night), "home"), F.when(_work(office), "work")))
+    return context.withColumn("place_type", F.explode(kinds))
 
 
 def named_usage(valid: DataFrame, devices: DataFrame) -> DataFrame:
@@ -76,6 +86,13 @@ def valid_by_day(valid: DataFrame) -> DataFrame:
     return valid.groupBy("day").agg(F.count(F.lit(1)).alias("cnt")).orderBy("day")
 
 
+def records_by_shard(scan: DataFrame, valid: DataFrame) -> DataFrame:
+    """Records read and records kept of each shard; ``valid`` may carry fewer shards."""
+    kept = valid.groupBy("shard").agg(F.count(F.lit(1)).alias("kept"))
+    return scan.groupBy("shard").agg(F.count(F.lit(1)).alias("records")).join(kept, "shard", "left").select(
+        "shard", "records", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 def device_days(usage: DataFrame) -> DataFrame:
     """The most used device of each user and day, with its first second that day.
 

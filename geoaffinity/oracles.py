@@ -6,7 +6,7 @@ windows and recursive CTEs over the whole tables.
 
 from geoaffinity import fixtures as fx
 
-RATE, WIDTH, NEAR, RANK, FOLDS, SEED = 0.9, 500.0, 1000.0, 8, 2, 42
+RATE, WIDTH, NEAR, RANK, FOLDS, SEED = 0.9, 500.0, 1000.0, 8, 10, 42
 LP = LQ = 0.01
 
 
@@ -296,7 +296,7 @@ SELECT fold, u, d, row_number() OVER (PARTITION BY fold, u ORDER BY tier, rank)
   SELECT fold, u, d, 0 AS tier, rank FROM {prefix}own UNION ALL
   SELECT u.fold, u.u, p.d, 1, p.rank FROM (SELECT DISTINCT fold, u FROM {train}) u
   JOIN (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY cnt DESC, d) AS rank FROM (
-    SELECT fold, d, count(*) AS cnt FROM {train} GROUP BY ALL)) p ON p.fold = u.fold AND p.rank <= 20
+    SELECT fold, d, count(*) AS cnt FROM {train} GROUP BY ALL)) p ON p.fold = u.fold
   WHERE NOT EXISTS (SELECT 1 FROM {train} t WHERE t.fold = u.fold AND t.u = u.u AND t.d = p.d)
     AND NOT EXISTS (SELECT 1 FROM {prefix}own o WHERE o.fold = u.fold AND o.u = u.u AND o.d = p.d))
 QUALIFY row_number() OVER (PARTITION BY fold, u ORDER BY tier, rank) <= 10""", f"{prefix}own", *needs)
@@ -396,6 +396,24 @@ oracle("dim_cells", "SELECT cell, round(lat, 6) AS lat, round(lng, 6) AS lng FRO
 oracle("dim_devices", "SELECT * FROM devices", "devices")
 oracle("valid_sightings", "SELECT * FROM valid", "valid")
 oracle("context_sightings", f"SELECT {CTX} FROM context", "context")
+oracle("file_valid_sightings", "SELECT * FROM valid", "valid")
+oracle("file_valid_sightings_pruned", "SELECT * FROM valid WHERE day BETWEEN '20240108' AND '20240114'", "valid")
+oracle("records_by_shard", """SELECT part, count(*) AS records, count(*) FILTER (ok) AS kept FROM (
+SELECT second % 4 AS part, (second, "user", substr(imei, 1, 8), cell) IN (SELECT (second, "user", tac, cell) FROM valid)
+AS ok FROM sightings) GROUP BY part""", "sightings", "valid")
+oracle("file_position_counts", "SELECT * FROM counts", "counts")
+oracle("file_device_history", 'SELECT "user", btime, device FROM history', "history")
+oracle("file_visits_hist", """SELECT value, count(*) AS cnt FROM (SELECT "user",
+sum(cnt)::BIGINT AS value FROM counts WHERE place_type = 'home' GROUP BY ALL) GROUP BY ALL""", "counts")
+oracle("file_numbered_devices", "SELECT device, d FROM coverage", "coverage")
+oracle("file_numbered_users", 'SELECT "user", u FROM users', "users")
+oracle("file_numbered_usage", f"""SELECT strftime(make_timestamp(btime * 1000000), '%Y%m%d') AS date, u, d FROM covered
+JOIN users USING ("user") JOIN coverage USING (device)""", "covered", "users", "coverage")
+oracle("file_train_test", "SELECT date, u, d, part FROM tsplit", "tsplit")
+oracle("file_semantic_places", """SELECT "user", round(lat, 6) AS lat, round(lng, 6) AS lng FROM semantic
+WHERE place_type = 'home'""", "semantic")
+oracle("file_numbered_places", f"""SELECT u, {", ".join(f"round({c}, 6) AS {c}" for c in ("hlat", "hlng", "wlat", "wlng"))}
+FROM named_places""", "named_places")
 oracle("home_sightings", f"SELECT {CTX} FROM context WHERE hour < 8 OR hour >= 20", "context")
 oracle("work_sightings", f"SELECT {CTX} FROM context WHERE wday < 5 AND hour BETWEEN 9 AND 16", "context")
 oracle("log_profile", """SELECT count(DISTINCT day) AS days, count(DISTINCT "user") AS users,
@@ -514,8 +532,9 @@ SELECT fold, u, d, x, CASE WHEN c > 1 AND {_draw} < least(1.0::DOUBLE,
 FROM (SELECT *, count(*) OVER (PARTITION BY fold, x, u) AS c FROM samples)""", "samples")
 oracle("negatives_sampled", "SELECT fold, u, d, x FROM samples_x2", "samples_x2")
 oracle("negatives_bernoulli", "SELECT fold, u, d, x FROM samples_b", "samples_b")
-oracle("negatives_all", """SELECT 0::BIGINT AS fold, u, d, (CASE WHEN (u, d) IN (SELECT (u, d) FROM pairs)
-THEN 1 ELSE 0 END)::BIGINT AS x FROM (SELECT DISTINCT u FROM pairs), (SELECT DISTINCT d FROM pairs)""", "pairs")
+oracle("negatives_all", """SELECT 0::BIGINT AS fold, u, count(d) AS unused, coalesce(sum(d), 0)::BIGINT AS unused_sum
+FROM (SELECT DISTINCT u FROM pairs) a LEFT JOIN LATERAL (SELECT d FROM (SELECT DISTINCT d FROM pairs)
+WHERE (a.u, d) NOT IN (SELECT (u, d) FROM pairs)) b ON true GROUP BY u""", "pairs")
 oracle("sample_profile", """SELECT count(*) AS records, count(DISTINCT u) AS users, count(DISTINCT d) AS items,
 count(*) FILTER (x = 1) AS positives, count(*) FILTER (x = 0) AS negatives FROM samples""", "samples")
 oracle("rank_triples", """SELECT a.u, a.d AS i, count(*) AS unused, sum(b.d)::BIGINT AS unused_sum

@@ -19,13 +19,14 @@ class CleanLog:
 
 
 def clean_log(sightings: DataFrame, cells: DataFrame, devices: DataFrame,
-              days: tuple[str, str] = usage.STUDY_DAYS, tz: str = "UTC") -> CleanLog:
+              days: tuple[str, str] = usage.STUDY_DAYS, tz: str = "UTC",
+              night: tuple[int, int] = usage.NIGHT, office: tuple[int, int] = usage.OFFICE) -> CleanLog:
     """Filter the raw log; profile it; count home and work positions."""
     valid = usage.valid_sightings(sightings, cells, devices, days, tz)
     named = usage.named_usage(valid, devices)
     context = usage.context_sightings(valid, cells, tz)
     return CleanLog(valid, named, usage.log_profile(named),
-                    places.position_counts(usage.place_sightings(context)))
+                    places.position_counts(usage.place_sightings(context, night, office)))
 
 
 def device_changes(named: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def popular_model(interactions: DataFrame, alpha: float = 0.8, n: int = 10) -> D
     train, valid = _parts(cut(splits.stratified_split(interactions, alpha)))
     truth = splits.changed_users(train, valid)
     top = itemcf.popular_items(train, n).select("fold", "d", "rank")
-    lists = truth.select("fold", "u").distinct().join(top, "fold")
+    lists = truth.select("fold", "u").distinct().join(F.broadcast(top), "fold")  # n rows per fold
     return evaluate.precision_recall_at_k(truth, lists, n)
 
 

@@ -21,8 +21,9 @@ RATE = 0.9        # coverage of the device catalogue
 WIDTH = 500.0     # kernel width in metres
 NEAR = 1000.0     # graph radius in metres
 RANK = 8          # factor length of the single-step queries
-FOLDS = 2         # repeats of the row-level split and recommender queries
+FOLDS = 10        # repeats of the row-level split, the recommenders and the models
 STEPS = 3         # training steps of the model queries
+WEEK = ("20240108", "20240114")  # read back by pruning
 
 QUERIES: dict[str, Query] = {}
 
@@ -82,6 +83,120 @@ def scan_sightings(spark, sf):
                  second="bigint", user="bigint", imei="string", cell="string")
 
 
+# ---- tables handed from program to program -----------------------------------
+
+def _text(spark, df, table):
+    """Written as delimited text, read back with the fixed schema."""
+    path = scratch_path(spark, table)
+    sources.write_text(df, table, path)
+    return sources.well_formed(sources.read_text(spark, table, f"{path}/*.csv"))
+
+
+def _parquet(spark, df, name, *by):
+    path = scratch_path(spark, name)
+    sources.write_partitioned(df, path, *by)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query
+def records_by_shard(spark, sf):
+    """Four shards of the log, told apart on reading by the file they come from."""
+    path, log = scratch_path(spark, "shards"), fx.sightings(spark, sf)
+    for k in range(4):
+        sources.write_text(log.where(F.pmod("second", F.lit(4)) == k).coalesce(1), "sightings", f"{path}/{k}")
+    scan = cut(sources.read_sightings(spark, f"{path}/*/*.csv"))
+    valid = usage.valid_sightings(scan, _cells(spark, sf), _devices(spark, sf), fx.DAYS)
+    names = scan.groupBy("shard").agg(F.min(F.pmod("second", F.lit(4))).alias("part"))
+    return shape(usage.records_by_shard(scan, valid).join(names, "shard"),
+                 part="bigint", records="bigint", kept="bigint")
+
+
+@query
+def file_valid_sightings(spark, sf):
+    """Valid sightings in folders by day, all read back."""
+    return shape(_parquet(spark, _clean(spark, sf).valid, "valid", "day"),
+                 second="bigint", user="bigint", tac="string", cell="string", day="string")
+
+
+@query
+def file_valid_sightings_pruned(spark, sf):
+    """A week of them: the scan lists only the folders of its days."""
+    stored = _parquet(spark, _clean(spark, sf).valid, "valid", "day")
+    return shape(stored.where(F.col("day").between(*WEEK)), second="bigint", user="bigint",
+                 tac="string", cell="string", day="string")
+
+
+@query
+def file_position_counts(spark, sf):
+    """One text file set for each place type, positions as ``lat#lng``."""
+    counts, parts = cut(_counts(spark, sf)), []
+    for kind in ("home", "work"):
+        rows = counts.where(F.col("place_type") == kind).withColumn(
+            "position", sources.position_text("lat", "lng"))
+        back = _text(spark, rows, "position_counts")
+        parts.append(back.select(F.lit(kind).alias("place_type"), "user", "cnt",
+                                 *sources.parse_position("position", ["lat", "lng"])))
+    return shape(parts[0].unionByName(parts[1]), place_type="string", user="bigint", lat=6, lng=6,
+                 cnt="bigint")
+
+
+@query
+def file_device_history(spark, sf):
+    return shape(_text(spark, _history(spark, sf), "device_history"), user="bigint", btime="bigint",
+                 device="string")
+
+
+@query
+def file_visits_hist(spark, sf):
+    """A count file: how many users have how many home sightings."""
+    hist = places.visits_hist(_counts(spark, sf)).where(F.col("place_type") == "home")
+    return shape(_text(spark, hist, "histogram"), value="bigint", cnt="bigint")
+
+
+@query
+def file_numbered_devices(spark, sf):
+    return shape(_text(spark, _numbered(spark, sf).devices, "numbered_devices"), device="string", d="bigint")
+
+
+@query
+def file_numbered_users(spark, sf):
+    return shape(_text(spark, _numbered(spark, sf).users, "numbered_users"), user="bigint", u="bigint")
+
+
+@query
+def file_numbered_usage(spark, sf):
+    return shape(_text(spark, _numbered(spark, sf).fact, "numbered_usage"), date="string", u="bigint",
+                 d="bigint")
+
+
+@query
+def file_train_test(spark, sf):
+    """Train and test usage in a folder each."""
+    return shape(_parquet(spark, _time_split(spark, sf), "split", "part"), date="string", u="bigint",
+                 d="bigint", part="string")
+
+
+@query
+def file_semantic_places(spark, sf):
+    """Home places as text, positions as ``lat#lng``."""
+    home = _semantic(spark, sf).where(F.col("place_type") == "home").withColumn(
+        "position", sources.position_text("lat", "lng"))
+    back = _text(spark, home, "semantic_places")
+    return shape(back.select("user", *sources.parse_position("position", ["lat", "lng"])), user="bigint",
+                 lat=6, lng=6)
+
+
+@query
+def file_numbered_places(spark, sf):
+    """Home and work of numbered users as one ``#``-joined text."""
+    corners = ["hlat", "hlng", "wlat", "wlng"]
+    wide = places.user_places(_semantic(spark, sf), _numbered(spark, sf).users).withColumn(
+        "positions", sources.position_text(*corners))
+    back = _text(spark, wide, "numbered_places")
+    return shape(back.select("u", *sources.parse_position("positions", corners)), u="bigint",
+                 **{c: 6 for c in corners})
+
+
 @query
 def dim_cells(spark, sf):
     return shape(_cells(spark, sf), cell="string", lat=6, lng=6)
@@ -459,7 +574,10 @@ def negatives_bernoulli(spark, sf):
 
 @query
 def negatives_all(spark, sf):
-    return shape(_samples(spark, sf, -1), **SAMPLE)
+    """All unused items of every user, counted and summed instead of listed."""
+    data = cut(fx.interactions(spark, sf))
+    return shape(sampling.unused_counts(data, data.select("d")), fold="bigint", u="bigint",
+                 unused="bigint", unused_sum="bigint")
 
 
 @query
@@ -718,15 +836,24 @@ def train_graph_mf(spark, sf):
 
 
 @query
-def als_topn(spark, sf):
+def als_metrics(spark, sf):
     """Ranking metrics of ALS lists."""
-    return shape(programs.als_model(fx.interactions(spark, sf), max_iter=10)[1], **METRIC)
+    return shape(programs.als_model(fx.interactions(spark, sf))[1], **METRIC)
+
+
+@query
+def als_topn(spark, sf):
+    """The ten best unused items of every user by ALS."""
+    data = fx.interactions(spark, sf)
+    train = cut(programs.labelled_samples(data, 1).where(F.col("part") == "train"))
+    best = als.als_topn(als.train_als(train), train, train.where(F.col("x") == 1).select("fold", "u", "d"))
+    return shape(best, u="bigint", d="bigint", rank="bigint", score=4)
 
 
 @query
 def als_mse(spark, sf):
     """Squared error on the training rows, and on the held-out rows beside it."""
-    errors = programs.als_model(fx.interactions(spark, sf), max_iter=10)[0]
+    errors = programs.als_model(fx.interactions(spark, sf))[0]
     return shape(errors, fold="bigint", part="string", mse=6, rows="bigint")
 
 
@@ -734,5 +861,5 @@ def als_mse(spark, sf):
 def train_als(spark, sf):
     """User factors of an ALS model on the sampled data, one row per element."""
     split = programs.labelled_samples(fx.interactions(spark, sf), 1)
-    model = als.train_als(split.where(F.col("part") == "train"), max_iter=10)
+    model = als.train_als(split.where(F.col("part") == "train"))
     return _elements(als.als_factors(model)[0], ["u"], "f", "v", 4)

@@ -20,7 +20,7 @@ def stable_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster is a cluster
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="geoaffinity-")
     if sc.getCheckpointDir() is None:
@@ -116,21 +116,25 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
                 hot: int = 20000) -> DataFrame:
     """Inner equi-join for keys that are heavy on both sides.
 
-    A key with more than ``hot`` right rows is split into pieces: the right
-    rows are dealt out by a hash of ``salt_by``, the left rows repeated once
-    per piece. Every pair is still produced exactly once. The join is a sort-merge
-    join on purpose: it multiplies rows, so its work has to be spread by key even
-    when one side alone is small enough to broadcast.
+    Either side of a key with more than ``hot`` rows there is split into pieces, the left rows by a
+    hash of all of their columns, the right rows by one of ``salt_by``. Each piece of one side is
+    repeated for every piece of the other, so a task meets two bounded pieces and every pair is
+    produced exactly once. The join is a sort-merge join on purpose: it multiplies rows, so
+    its work has to be spread by key even when one side alone is small enough to broadcast.
     """
     keys = list(keys)
-    pieces = (
-        right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot)
-        .select(*keys, chunk_count(F.col("_n"), hot).alias("_pieces"))
-    )
-    one = F.coalesce(F.col("_pieces"), F.lit(1))
-    lefts = left.join(pieces, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_pieces")
-    rights = right.join(pieces, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*salt_by), one).cast("int")).drop("_pieces")
-    return lefts.join(rights.hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+    def pieces(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(
+            *keys, chunk_count(F.col("_n"), hot).alias(name))
+
+    cuts = pieces(left, "_pl").join(pieces(right, "_pr"), keys, "full")
+
+    def dealt(df: DataFrame, own: str, other: str, salts: Sequence[str], mine: str, theirs: str) -> DataFrame:
+        n, m = (F.coalesce(F.col(c), F.lit(1)) for c in (own, other))
+        return df.join(cuts, keys, "left").withColumn(mine, F.pmod(F.xxhash64(*salts), n).cast("int")).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), m - 1))).drop("_pl", "_pr")
+
+    lefts = dealt(left, "_pl", "_pr", left.columns, "_sl", "_sr")
+    rights = dealt(right, "_pr", "_pl", salt_by, "_sr", "_sl")
+    return lefts.join(rights.hint("merge"), [*keys, "_sl", "_sr"]).drop("_sl", "_sr")

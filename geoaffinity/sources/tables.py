@@ -11,6 +11,7 @@ TEXT_TABLES = {
     "sightings": ("|", "second BIGINT, user STRING, imei STRING, cell STRING"),
     "valid_sightings": ("|", "second BIGINT, user STRING, tac STRING, cell STRING"),
     "cells": (",", "cell STRING, lat DOUBLE, lng DOUBLE"),
+    "devices": ("|", "_0 STRING, tac STRING, brand STRING, model STRING, _4 STRING, _5 STRING, kind STRING"),
     "position_counts": (",", "user STRING, position STRING, cnt BIGINT"),
     "device_history": ("|", "user STRING, btime BIGINT, device STRING"),
     "numbered_devices": (",", "device STRING, d INT"),
@@ -30,14 +31,21 @@ def read_text(spark: SparkSession, table: str, path: str | Sequence[str]) -> Dat
     A row that does not parse keeps its text in ``_corrupt_record`` instead of
     failing the job; ``shard`` names the file it came from.
     """
+    return parse_lines(read_lines(spark, path), table, F.col("line"))
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return spark.read.text(path if isinstance(path, str) else list(path)).select(
+        F.col("value").alias("line"), F.col("_metadata.file_name").alias("shard"))
+
+
+def parse_lines(lines: DataFrame, table: str, text: Column) -> DataFrame:
+    """Parsed line by line, so that a row is judged by all of its columns even when a query
+    reads only some of them."""
     sep, schema = TEXT_TABLES[table]
     options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
-    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
-        "value", F.col("_metadata.file_name").alias("shard"))
-    # Parsed line by line, so that a row is judged by all of its columns even
-    # when a query reads only some of them.
     return lines.select(
-        F.from_csv("value", f"{schema}, {BAD} STRING", options).alias("row"), "shard"
+        F.from_csv(text, f"{schema}, {BAD} STRING", options).alias("row"), "shard"
     ).select("row.*", "shard")
 
 
@@ -70,16 +78,17 @@ def device_dimension(raw: DataFrame, kind: str = "smartphone") -> DataFrame:
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Comma text whose first three columns are cell, lat, lng."""
-    sep, schema = TEXT_TABLES["cells"]
-    return cell_dimension(spark.read.schema(schema).option("sep", sep).csv(path))
+    """Comma text whose first three columns are cell, lat, lng; more columns are ignored. Rows that do not
+    parse, or lack a cell or a position, stay out of the dimension (``quarantined(read_text(...))`` shows them)."""
+    first = F.array_join(F.slice(F.split("line", ","), 1, 3), ",")
+    rows = parse_lines(read_lines(spark, path), "cells", first)
+    return cell_dimension(well_formed(rows).dropna(subset=["cell", "lat", "lng"]))
 
 
 def read_devices(spark: SparkSession, path: str, kind: str = "smartphone") -> DataFrame:
     """Pipe text: columns 1, 2, 3 are code, brand, model and column 6 the kind."""
-    names = ["_0", "tac", "brand", "model", "_4", "_5", "kind"]
-    schema = ", ".join(f"{n} STRING" for n in names)
-    raw = spark.read.schema(schema).option("sep", "|").csv(path)
+    rows = parse_lines(read_lines(spark, path), "devices", F.array_join(F.slice(F.split("line", r"\|"), 1, 7), "|"))
+    raw = well_formed(rows).dropna(subset=["tac", "kind"])
     return device_dimension(raw.select("tac", "brand", "model", "kind"), kind)
 
 

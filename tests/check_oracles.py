@@ -12,10 +12,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def session(cpus: int = 8):
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("geoaffinity")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="geoaffinity-tests-"))
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoaffinity.operators import geograph, places
+from geoaffinity.runtime import salted_join
 
 R = 6372800.0
 
@@ -113,11 +114,54 @@ def test_density_does_not_depend_on_list_length(spark):
     assert all(abs(whole[k] - split[k]) < 1e-12 for k in whole)
 
 
-def test_mode_search_in_row_equals_by_joins(spark):
-    counts = counts_frame(spark)
-    one = {r.user: (r.lat, r.lng, r.steps) for r in places.semantic_place(counts, 500.0).collect()}
-    two = {r.user: (r.lat, r.lng, r.steps)
-           for r in places.semantic_place(counts, 500.0, light=1).collect()}
-    assert one.keys() == two.keys() == set(range(6))
-    for u in one:
-        assert one[u] == pytest.approx(two[u], abs=1e-9)
+def shifted(points, start, h, delta=1e-5):
+    """Mean shift of one user in plain Python: position and steps."""
+    (y, x), steps = start, 0
+    while True:
+        w = [n * math.exp(-0.5 * (haversine((y, x), (a, b)) / h) ** 2) if haversine((y, x), (a, b)) <= h else 0.0
+             for a, b, n in points]
+        new = (sum(v * p[0] for v, p in zip(w, points)) / sum(w), sum(v * p[1] for v, p in zip(w, points)) / sum(w))
+        steps, moved = steps + 1, math.dist(new, (y, x))
+        y, x = new
+        if moved < delta:
+            return y, x, steps
+
+
+def test_mode_search_goes_on_until_nothing_moves(spark):
+    """One user has more than 1024 positions, one needs more than a hundred steps, one a single position."""
+    rng = random.Random(8)
+    rows = [("home", 1, 30.5 + rng.uniform(-0.01, 0.01), 120.5 + rng.uniform(-0.01, 0.01), rng.randint(1, 3))
+            for _ in range(1100)]
+    # a long gentle slope: counts rise slowly, so every step is short
+    rows += [("home", 2, 30.5 + k * 0.0001, 120.5, 1000 + 2 * k) for k in range(150)]
+    rows += [("work", 3, 30.7, 120.7, 4)]
+    counts = spark.createDataFrame(rows, "place_type string, user long, lat double, lng double, cnt long")
+    starts = {r.user: (r.lat, r.lng) for r in places.densest_positions(counts, 60.0).collect()}
+    got = {r.user: r for r in places.semantic_place(counts, 60.0, delta=1e-9).collect()}
+    assert got.keys() == {1, 2, 3} and all(r.done for r in got.values())
+    for u in got:
+        y, x, steps = shifted([(r[2], r[3], r[4]) for r in rows if r[1] == u], starts[u], 60.0, 1e-9)
+        assert (got[u].lat, got[u].lng) == pytest.approx((y, x), abs=1e-7)
+        assert abs(got[u].steps - steps) <= 1
+    early = places.semantic_place(counts, 60.0, delta=1e-9, max_iter=1)
+    assert {r.user: r.done for r in early.collect()} == {1: False, 2: False, 3: True}
+
+
+def test_one_hot_cell_is_split_on_both_sides(spark, monkeypatch):
+    """Users of one grid cell: the join may not put more than a bounded product into one task."""
+    rows = users_near(30.5, 120.5, 120, seed=9, spread=0.0005)
+    plain = geograph.geo_pairs(spark.createDataFrame(rows, SCHEMA), 800.0).count()
+    sizes = []
+
+    def spy(left, right, keys, salt_by, hot=20):
+        out = salted_join(left, right, keys, salt_by, hot=20)
+        sizes.append(out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(geograph, "salted_join", spy)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert geograph.geo_pairs(spark.createDataFrame(rows, SCHEMA), 800.0).count() == plain == 120 * 120
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) <= 120 * 120 / 3

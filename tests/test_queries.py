@@ -21,9 +21,10 @@ CHECKED = ["scan_sightings", "dim_cells", "valid_sightings", "context_sightings"
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    rest = set(queries()) - set(oracle_sql())
+    rest = set(queries()) - set(oracle_sql())  # the corpus queries are checked beside their tests
+    rest = {q for q in rest if q != "pipeline" and not q.startswith("op")}
     assert rest == {"train_logistic_mf", "train_logistic_mf_neg", "train_weighted_mf", "train_bpr",
-                    "train_graph_mf", "train_als", "als_topn", "als_mse"}
+                    "train_graph_mf", "train_als", "als_topn", "als_metrics", "als_mse"}
 
 
 def test_entry(spark):

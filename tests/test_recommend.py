@@ -89,6 +89,29 @@ def test_popular_fill(spark):
     assert [r.rank for r in rows if r.u == 3] == [1, 2, 3]
 
 
+def test_popular_fill_reads_down_the_order(spark):
+    """A user has used 15 of the 20 most popular items; the list is full all the same."""
+    popular = [(0, 100 + u, d) for d in range(30) for u in range(60 - d)]
+    data = frame(spark, popular + [(0, 1, d) for d in range(15)])
+    rows = itemcf.itemcf_topn(data, n=20, neighbors=1).where("u = 1").orderBy("rank").collect()
+    assert [r.rank for r in rows] == list(range(1, 16)) and {r.d for r in rows} == set(range(15, 30))
+
+
+def test_unused_counts(spark):
+    data = frame(spark)
+    used = {u: {r.d for r in data.where(F.col("u") == u).collect()} for u in (r.u for r in data.select("u").distinct().collect())}
+    got = {r.u: (r.unused, r.unused_sum) for r in sampling.unused_counts(data, items(spark)).collect()}
+    every = {r.d for r in items(spark).collect()}
+    assert got == {u: (len(every - ds), sum(every - ds)) for u, ds in used.items()}
+
+
+def test_scores_must_be_finite(spark):
+    users = spark.createDataFrame([(0, 1, [float("nan"), 1.0])], "fold int, u long, f array<double>")
+    things = spark.createDataFrame([(0, 1, [1.0, 1.0])], "fold int, d long, f array<double>")
+    with pytest.raises(Exception, match="not finite"):
+        evaluate.topn_by_factor(users, things, frame(spark).where("u = 1"), 2).collect()
+
+
 def test_precision_recall(spark):
     truth = frame(spark, [(0, 1, 5), (0, 1, 6), (0, 2, 7), (0, 3, 8)])
     lists = spark.createDataFrame([(0, 1, 5, 1), (0, 1, 9, 2), (0, 2, 1, 1), (0, 2, 7, 2)],

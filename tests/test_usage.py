@@ -151,3 +151,27 @@ def test_dimension_readers(spark, tmp_path):
     assert cells == {"c1": (31.0, 119.0), "c2": (1.5, 2.5)}
     assert [tuple(r) for r in sources.read_devices(spark, str(tmp_path / "devices")).collect()] == [
         ("t1", "b#m")]
+
+
+def test_dimension_readers_quarantine(spark, tmp_path):
+    """A malformed latitude is no cell; extra columns are ignored."""
+    (tmp_path / "cells.csv").write_text("C1,30.5,120.5,extra,more\nC2,north,120.5\nC3,30.6\nC1,30.4,120.4\n,30.1,120.1\n")
+    got = {r.cell: (r.lat, r.lng) for r in sources.read_cells(spark, str(tmp_path / "cells.csv")).collect()}
+    assert got == {"C1": (30.5, 120.5)}
+    (tmp_path / "devices.csv").write_text("0|11111111|B|M|x|y|SmartPhone|z\n0|22222222|B|N|x|y|Phone\n0|3333\n")
+    assert [tuple(r) for r in sources.read_devices(spark, str(tmp_path / "devices.csv")).collect()] == [("11111111", "B#M")]
+
+
+def test_hours_reach_the_places(spark):
+    context = spark.createDataFrame([(1, h, 2) for h in range(24)], "user long, hour long, wday long")
+    kinds = usage.place_sightings(context, night=(10, 22), office=(9, 11)).groupBy("place_type").count()
+    assert {r.place_type: r["count"] for r in kinds.collect()} == {"home": 12, "work": 3}
+
+
+def test_pruned_scan_lists_only_its_days(spark, tmp_path):
+    days = spark.range(20).select("id", (F.col("id") % 5).cast("string").alias("day"))
+    sources.write_partitioned(days, str(tmp_path / "v"), "day")
+    part = spark.read.schema(days.schema).parquet(str(tmp_path / "v")).where("day between '1' and '2'")
+    assert part.count() == 8
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
