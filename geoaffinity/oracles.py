@@ -246,20 +246,20 @@ SELECT n, (SELECT min(p) FROM range(n, 2 * n + 2) t(p)
 FROM (SELECT count(DISTINCT d) AS n FROM pairs)""", "pairs")
 
 
-def _negatives(steps: str, order: str | None, times: int) -> str:
+def _negatives(steps: str, order: str | None, times: int, inter: str = "inter") -> str:
     pick = f"WHERE r <= c * {times}" if order else ""
     rank = f"row_number() OVER (PARTITION BY fold, u ORDER BY {order})" if order else "0"
     return f"""
-SELECT fold, u, d, 1::BIGINT AS x FROM inter UNION ALL
+SELECT fold, u, d, 1::BIGINT AS x FROM {inter} UNION ALL
 SELECT fold, u, d, 0::BIGINT FROM (SELECT *, {rank} AS r FROM (
   SELECT w.fold, w.u, w.c, w.j, (a * j + b) % prime AS d FROM (
     SELECT *, unnest(range(least(prime, {steps})::BIGINT)) AS j FROM (
       SELECT fold, u, count(*) AS c, any_value(n) AS n, any_value(prime) AS prime,
         any_value(1 + floor({uniform(f'fold + {SEED}', 'u', "'a'")} * (prime - 1))::BIGINT) AS a,
         any_value(floor({uniform(f'fold + {SEED}', 'u', "'b'")} * prime)::BIGINT) AS b
-      FROM inter, prime GROUP BY fold, u)) w
+      FROM {inter}, prime GROUP BY fold, u)) w
   WHERE (a * j + b) % prime < n) q
-  WHERE NOT EXISTS (SELECT 1 FROM inter i WHERE i.fold = q.fold AND i.u = q.u AND i.d = q.d)) {pick}"""
+  WHERE NOT EXISTS (SELECT 1 FROM {inter} i WHERE i.fold = q.fold AND i.u = q.u AND i.d = q.d)) {pick}"""
 
 
 cte("samples", _negatives("c + c + prime - n", "j", 1), "inter", "prime")
@@ -594,3 +594,47 @@ oracle("topn_by_factor", """SELECT u, d, round(score, 6) AS score, rank FROM (SE
 (PARTITION BY u ORDER BY score DESC, d) AS rank FROM (SELECT p.u, q.d, sum(p.v * q.v) AS score FROM p JOIN q
 ON q.i = p.i WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.u = p.u AND x.d = q.d) GROUP BY ALL))
 WHERE rank <= 10""", "p", "q", "pairs")
+
+
+# ---- facts about trained models -----------------------------------------------
+
+
+def _label_split(samples: str) -> str:
+    draw = uniform(f"fold + {SEED}", "x", "u", "d")
+    return f"""SELECT fold, u, d, x, CASE WHEN c > 1 AND {draw} < least(1.0::DOUBLE,
+  count(*) OVER (PARTITION BY fold, x) * (1.0 - 0.8)::DOUBLE
+  / sum(CASE WHEN c > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY fold, x)) THEN 'valid' ELSE 'train' END AS part
+FROM (SELECT *, count(*) OVER (PARTITION BY fold, x, u) AS c FROM {samples})"""
+
+
+cte("pos10", "SELECT fold, u, d, 1::BIGINT AS x FROM inter10", "inter10")
+cte("samples10", _negatives("c + c + prime - n", "j", 1, "inter10"), "inter10", "prime")
+cte("samples10b", _negatives("ceil(c * prime / greatest(1, n - c)::DOUBLE)", "d", 1, "inter10"), "inter10", "prime")
+for _from in ("pos10", "samples10", "samples10b", "samples"):
+    cte(f"parts_{_from}", _label_split(_from), _from)
+cte("parts_both", """SELECT * FROM parts_samples10 p WHERE (SELECT count(DISTINCT x) FROM parts_samples10 o
+  WHERE o.fold = p.fold AND o.u = p.u AND o.part = p.part) = 2""", "parts_samples10")
+
+
+def _facts(parts: str) -> str:
+    return sql(f"""SELECT a.*, truth_users, 0::BIGINT AS broken FROM (
+  SELECT fold, count(*) FILTER (part = 'train') AS train_rows, count(*) FILTER (part = 'valid') AS valid_rows,
+    count(DISTINCT u) FILTER (part = 'train') AS users, count(DISTINCT d) FILTER (part = 'train') AS items
+  FROM {parts} GROUP BY fold) a JOIN (
+  SELECT fold, count(DISTINCT u) AS truth_users FROM {parts} v WHERE part = 'valid' AND x = 1
+    AND EXISTS (SELECT 1 FROM {parts} t WHERE t.part = 'train' AND t.x = 1 AND t.fold = v.fold AND t.u = v.u)
+  GROUP BY fold) b USING (fold)""", parts)
+
+
+for _name, _parts_of in (("train_logistic_mf", "parts_pos10"), ("train_logistic_mf_neg", "parts_samples10b"),
+                         ("train_weighted_mf", "parts_samples10"), ("train_graph_mf", "parts_samples10"),
+                         ("train_bpr", "parts_both"), ("als_metrics", "parts_samples")):
+    ORACLES[_name] = _facts(_parts_of)
+oracle("als_mse", """SELECT fold, part, count(*) AS rows, true AS fits FROM parts_samples p
+WHERE u IN (SELECT u FROM parts_samples WHERE part = 'train') AND d IN (SELECT d FROM parts_samples WHERE part = 'train')
+GROUP BY fold, part""", "parts_samples")
+oracle("als_topn", """SELECT u, least(10, (SELECT count(DISTINCT d) FROM parts_samples WHERE part = 'train')
+  - count(*) FILTER (x = 1)) AS listed, 0::BIGINT AS used FROM parts_samples WHERE part = 'train' GROUP BY u""",
+       "parts_samples")
+oracle("train_als", """SELECT u, count(*) AS rows, true AS solved FROM parts_samples WHERE part = 'train'
+GROUP BY u""", "parts_samples")

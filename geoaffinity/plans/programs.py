@@ -91,12 +91,24 @@ def _both_classes(samples: DataFrame) -> DataFrame:
 class Trained:
     model: factor.FactorModel
     metrics: DataFrame
+    split: DataFrame
+
+
+@dataclass
+class AlsTrained:
+    """Squared errors by part, ranking metrics, factors and the split behind them."""
+
+    errors: DataFrame
+    metrics: DataFrame
+    users: DataFrame
+    items: DataFrame
+    split: DataFrame
 
 
 def _train(split: DataFrame, options: factor.FitOptions, n: int, **kind) -> Trained:
     train, valid = _parts(split)
     model = factor.fit(train.drop("part"), options, **kind)
-    return Trained(model, _metrics(train, valid, model, n))
+    return Trained(model, _metrics(train, valid, model, n), split)
 
 
 def logistic_model(interactions: DataFrame, options: factor.FitOptions, times: int = 0,
@@ -127,12 +139,12 @@ def ranking_model(interactions: DataFrame, options: factor.FitOptions, times: in
     train, valid = _parts(labelled_samples(interactions, times))
     train, valid = cut(_both_classes(train)), _both_classes(valid)
     model = factor.fit(train.drop("part"), options, pairwise=True)
-    return Trained(model, _metrics(train, valid, model, n))
+    return Trained(model, _metrics(train, valid, model, n), train.unionByName(valid))
 
 
 def als_model(interactions: DataFrame, times: int = 1, rank: int = 20, reg: float = 0.01,
-              max_iter: int = 30, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """ALS per fold: mean squared errors by part, and ranking metrics."""
+              max_iter: int = 30, n: int = 10) -> AlsTrained:
+    """ALS per fold."""
     split = labelled_samples(interactions, times)
     folds = [r.fold for r in split.select("fold").distinct().orderBy("fold").collect()]
     errors, users, items = [], [], []
@@ -144,7 +156,8 @@ def als_model(interactions: DataFrame, times: int = 1, rank: int = 20, reg: floa
         users.append(p)
         items.append(q)
     trained = factor.FactorModel(factor.union_all(users), factor.union_all(items))
-    return factor.union_all(errors), _metrics(*_parts(split), trained, n)
+    return AlsTrained(factor.union_all(errors), _metrics(*_parts(split), trained, n), trained.users,
+                      trained.items, split)
 
 
 def popular_model(interactions: DataFrame, alpha: float = 0.8, n: int = 10) -> DataFrame:

@@ -802,64 +802,108 @@ def topn_by_factor(spark, sf):
     return shape(best, u="bigint", d="bigint", score=6, rank="bigint")
 
 
-# ---- trained models (checked by properties in the tests) ---------------------
+# ---- trained models -----------------------------------------------------------
+# What a trained model returns depends on long sums, so these queries state facts about it that SQL can
+# check: how many users, items and rows it stands for, and that nothing that must hold is broken.
 
-def _trained(trained: programs.Trained):
-    return shape(trained.metrics, **METRIC)
+FACTS = dict(fold="bigint", train_rows="bigint", valid_rows="bigint", users="bigint", items="bigint",
+             truth_users="bigint", broken="bigint")
+
+
+def _broken_steps(history):
+    """Per fold, steps after which the loss is higher than the accepted width allows."""
+    bad = {}
+    for h in history:
+        worse = h["loss_after"] > h["loss"] - h["width"] * h["slope"] + 1e-12
+        bad[h["fold"]] = bad.get(h["fold"], 0) + int(worse or h["loss_after"] != h["loss_after"])
+    return bad
+
+
+def _facts(spark, split, users, items, metrics, broken):
+    """Rows of the two parts, factors, users with new items, and broken promises of each fold: steps
+    that failed their test, metrics outside 0..1, vectors that are not finite."""
+    def per(df, name, key):
+        return df.groupBy("fold").agg(F.count_distinct(key).alias(name))
+
+    parts = split.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train_rows"),
+                                      F.count_if(F.col("part") == "valid").alias("valid_rows"))
+    outside = ~(F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1))
+    scores = metrics.groupBy("fold").agg(F.max("users").alias("truth_users"),
+                                         (F.count_if(outside) + F.abs(F.count(F.lit(1)) - 10)).alias("b1"))
+    odd = ~F.exists("f", lambda v: F.isnan(v) | v.isNull() | (F.abs(v) > 1e9))
+    wild = users.select("fold", "f").unionByName(items.select("fold", "f")).groupBy("fold").agg(
+        F.count_if(~odd).alias("b2"))
+    steps = spark.createDataFrame([(int(f), int(n)) for f, n in broken.items()] or [(-1, 0)], "fold int, b3 int")
+    out = (parts.join(per(users, "users", "u"), "fold").join(per(items, "items", "d"), "fold")
+           .join(scores, "fold").join(wild, "fold").join(F.broadcast(steps), "fold", "left"))
+    return shape(out.withColumn("broken", F.col("b1") + F.col("b2") + F.coalesce("b3", F.lit(0))), **FACTS)
+
+
+def _trained(spark, trained: programs.Trained):
+    return _facts(spark, trained.split, trained.model.users, trained.model.items, trained.metrics,
+                  _broken_steps(trained.model.history))
 
 
 @query
 def train_logistic_mf(spark, sf):
-    return _trained(programs.logistic_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
+    return _trained(spark, programs.logistic_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
 
 
 @query
 def train_logistic_mf_neg(spark, sf):
-    return _trained(programs.logistic_model(fx.interactions(spark, sf, FOLDS), OPTIONS, times=1,
-                                            mode="bernoulli"))
+    return _trained(spark, programs.logistic_model(fx.interactions(spark, sf, FOLDS), OPTIONS, times=1,
+                                                   mode="bernoulli"))
 
 
 @query
 def train_weighted_mf(spark, sf):
-    return _trained(programs.weighted_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
+    return _trained(spark, programs.weighted_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
 
 
 @query
 def train_bpr(spark, sf):
-    return _trained(programs.ranking_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
+    return _trained(spark, programs.ranking_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
 
 
 @query
 def train_graph_mf(spark, sf):
-    return _trained(programs.weighted_model(fx.interactions(spark, sf, FOLDS), OPTIONS,
-                                            edges=_friends(spark, sf)))
+    return _trained(spark, programs.weighted_model(fx.interactions(spark, sf, FOLDS), OPTIONS,
+                                                   edges=_friends(spark, sf)))
 
 
 @query
 def als_metrics(spark, sf):
-    """Ranking metrics of ALS lists."""
-    return shape(programs.als_model(fx.interactions(spark, sf))[1], **METRIC)
+    """ALS lists against the held-out rows, as facts."""
+    fitted = programs.als_model(fx.interactions(spark, sf))
+    return _facts(spark, fitted.split, fitted.users, fitted.items, fitted.metrics, {})
 
 
 @query
-def als_topn(spark, sf):
-    """The ten best unused items of every user by ALS."""
-    data = fx.interactions(spark, sf)
-    train = cut(programs.labelled_samples(data, 1).where(F.col("part") == "train"))
-    best = als.als_topn(als.train_als(train), train, train.where(F.col("x") == 1).select("fold", "u", "d"))
-    return shape(best, u="bigint", d="bigint", rank="bigint", score=4)
+def als_mse(spark, sf):
+    """Squared errors by part: rows that have a prediction, and whether the training error beats a
+    constant guess."""
+    errors = programs.als_model(fx.interactions(spark, sf)).errors
+    fits = (F.col("part") != "train") | (F.col("mse") < 0.25)
+    return shape(errors.withColumn("fits", fits), fold="bigint", part="string", rows="bigint", fits="boolean")
 
 
 @query
-def als_mse(spark, sf):
-    """Squared error on the training rows, and on the held-out rows beside it."""
-    errors = programs.als_model(fx.interactions(spark, sf))[0]
-    return shape(errors, fold="bigint", part="string", mse=6, rows="bigint")
+def als_topn(spark, sf):
+    """Lists of the ten best unused items by ALS: their lengths, and used items in them (none)."""
+    train = cut(programs.labelled_samples(fx.interactions(spark, sf), 1).where(F.col("part") == "train"))
+    used = train.where(F.col("x") == 1).select("fold", "u", "d")
+    best = cut(als.als_topn(als.train_als(train), train, used))
+    hits = best.join(used.withColumn("hit", F.lit(1)), ["fold", "u", "d"], "left")
+    return shape(hits.groupBy("u").agg(F.count(F.lit(1)).alias("listed"), F.count("hit").alias("used")),
+                 u="bigint", listed="bigint", used="bigint")
 
 
 @query
 def train_als(spark, sf):
-    """User factors of an ALS model on the sampled data, one row per element."""
-    split = programs.labelled_samples(fx.interactions(spark, sf), 1)
-    model = als.train_als(split.where(F.col("part") == "train"))
-    return _elements(als.als_factors(model)[0], ["u"], "f", "v", 4)
+    """User factors solve their normal equations: a row per user with its samples and whether the
+    residual is small. Spark's regularisation counts each user's samples."""
+    train = cut(programs.labelled_samples(fx.interactions(spark, sf), 1).where(F.col("part") == "train"))
+    users, items = als.als_factors(als.train_als(train))
+    rest = als.normal_residual(train, users, items, 0.01)
+    return shape(rest.withColumn("solved", F.col("residual") < 0.01 * F.col("rows")), u="bigint", rows="bigint",
+                 solved="boolean")
