@@ -16,6 +16,7 @@ task is bounded, whatever its share of the corpus: at most ``hot`` contexts of a
 one window with one row per map task. Joins go through ``skew.join_counted``. Nothing is collected.
 """
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ from .skew import join_counted
 from .text import PIECE, SpanHash, row_blocks, text_bytes, word_borders
 
 PLACE_BITS = np.uint64(21)
+ROWS = 1 << 17  # contexts handled at a time
+HELD = 100_000  # distinct contexts that a map task holds before it passes them on
 SLICE = 1 << 20  # windows at a time; with the window itself below 2 ** PLACE_BITS
 NO_ID = 2**63 - 1  # stands for a null id: it sorts last
 
@@ -125,18 +128,18 @@ def _anchors(windows: Windows):
 
 
 def _places(finder: Finder, windows: Windows, batch: pa.RecordBatch):
-    """Contexts around repeated anchors, block by block, hot ones window by window:
-    (block, tokens, row, key, name, name, first window in its row, windows, start, end, place)."""
+    """Contexts around repeated anchors, block by block, hot ones window by window: the block's first row, its bytes
+    and tokens, and for each context row, key, two names, first window in the row, number of windows,
+    first token, end, place of the anchor, whether it is one window of a hot anchor."""
     raw, at = text_bytes(batch.column("text"))
     wanted, heavy = batch.column("anchors"), batch.column("hot")
-    for lo, hi in row_blocks(at, PIECE):
+    for lo, hi in row_blocks(at, PIECE // 2):
         block = raw[at[lo]: at[hi]]
         tokens, row, anchor, start, length, place = finder.contexts(block, at[lo: hi + 1] - at[lo])
         values, first = tokens[0], tokens[3]
-        rows = np.arange(lo, hi)
         pick = wanted.slice(lo, hi - lo)
         flat = np.asarray(pick.flatten())
-        owner = np.repeat(rows - lo, np.diff(np.asarray(pick.offsets)))
+        owner = np.repeat(np.arange(hi - lo), np.diff(np.asarray(pick.offsets)))
         hot = np.asarray(heavy.slice(lo, hi - lo).flatten().cast(pa.int8())).astype(bool)
         order = np.lexsort((flat, owner))
         ask = np.stack([owner[order], flat[order]])
@@ -156,14 +159,19 @@ def _places(finder: Finder, windows: Windows, batch: pa.RecordBatch):
         row, anchor, start, length, place = (x[keep] for x in (row, mine, start, length, place))
         split = hot[order][found[keep]] if keep.any() else np.zeros(0, bool)
         many = np.where(split, length, 1)  # a hot context becomes its windows
-        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        row, anchor, start, place, split = (np.repeat(x, many) for x in (row, anchor, start, place, split))
-        start = start + step
-        length = np.where(split, 1, np.repeat(length, many))
-        end = start + length - 1 + windows.size
-        one, two = finder.names(values, start, end, place) if len(start) else (anchor, anchor)
-        key = np.where(split, one ^ 0x5851F42D4C957F2D, anchor)
-        yield lo, block, tokens, row, key, one, two, start - first[row], length, start, end, place, split
+        total = np.cumsum(many)
+        low = 0
+        while low < len(many):  # a bounded number of windows at a time
+            high = max(low + 1, int(np.searchsorted(total, total[low] - many[low] + ROWS, "right")))
+            own = many[low:high]
+            step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            r, key, s, p, whole, n = (np.repeat(x[low:high], own) for x in (row, anchor, start, place, split, length))
+            s, n = s + step, np.where(whole, 1, n)
+            e = s + n - 1 + windows.size
+            one, two = finder.names(values, s, e, p)
+            key = np.where(whole, one ^ 0x5851F42D4C957F2D, key)
+            yield lo, block, tokens, r, key, one, two, s - first[r], n, s, e, p, whole
+            low = high
 
 
 def _occurrences(windows: Windows):
@@ -179,8 +187,17 @@ def _occurrences(windows: Windows):
     return run
 
 
-def _contexts(windows: Windows):
-    """Distinct contexts of a batch: content, number of places and the earliest of them."""
+def _contexts(windows: Windows, splitters: list[bytes]):
+    """Distinct contexts of a batch (or of ``HELD`` of them): content, number of places, the earliest of
+    them, and the range of ``splitters`` that their anchor's bytes fall into."""
+    def flushed(seen: dict[tuple[int, int, int], list]) -> pa.RecordBatch:
+        names = list(zip(*seen)) or [(), (), ()]
+        rest = list(zip(*seen.values())) or [()] * 7
+        kinds = (pa.int64(),) * 7 + (pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip((*names, *rest), kinds)],
+            names=["key", "one", "two", "windows", "places", "did", "at", "content", "lead", "bucket"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(windows)
         for batch in batches:
@@ -191,38 +208,44 @@ def _contexts(windows: Windows):
                 _, begin, stop, _ = tokens
                 view = memoryview(np.ascontiguousarray(block))
                 did = ids[row + lo]
-                columns = zip(*(x.tolist() for x in (
-                    key, one, two, did, at, length, begin[start] if len(start) else start,
-                    stop[end - 1] if len(end) else end, begin[place] - begin[start] if len(start) else start, split)))
-                for k, a, b, d, i, n, low, high, lead, whole in columns:
+                order = np.lexsort((at, did, two, one, key))  # the first of equal contexts is the earliest
+                new = np.ones(len(order), bool)
+                new[1:] = np.diff(key[order]) != 0
+                new[1:] |= (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+                edge = np.flatnonzero(new)
+                pick, times = order[edge], np.diff(np.append(edge, len(order)))
+                columns = zip(times.tolist(), *(x[pick].tolist() for x in (
+                    key, one, two, did, at, length, begin[start], stop[end - 1], begin[place] - begin[start], split)))
+                for many, k, a, b, d, i, n, low, high, lead, whole in columns:
                     old = seen.get((k, a, b))
                     if old is None:
                         text = bytes(view[low:high])
                         if windows.of_words:
                             text = b" ".join(text.split())
-                        seen[k, a, b] = [n, 1, d, i, text, -1 if whole else lead]
+                        elif whole:
+                            lead = -1
+                        suffix = text if whole or windows.of_words else text[lead: lead + windows.gram]
+                        seen[k, a, b] = [n, many, d, i, text, lead, bisect_right(splitters, suffix)]
                     else:
-                        old[1] += 1
+                        old[1] += many
                         if (d, i) < (old[2], old[3]):
                             old[2], old[3] = d, i
-            names = list(zip(*seen)) or [(), (), ()]
-            rest = list(zip(*seen.values())) or [()] * 6
-            kinds = (pa.int64(),) * 7 + (pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip((*names, *rest), kinds)],
-                names=["key", "one", "two", "windows", "places", "did", "at", "content", "lead"])
+                if len(seen) > HELD:
+                    yield flushed(seen)
+                    seen.clear()
+            yield flushed(seen)
 
     return run
 
 
 PLACES = "did long, tk long, key long, one long, two long, at long"
 CONTEXTS = ("key long, one long, two long, windows long, places long, did long, at long, "
-            "content binary, lead long")
+            "content binary, lead long, bucket long")
 
 
 def remove_repeats(docs: DataFrame, windows: Windows, *, doc_id: str, text: str,
                    compare: Callable[[DataFrame], DataFrame], removed: Callable, removed_columns: list[str],
-                   finish: Callable, finished: str) -> DataFrame:
+                   finish: Callable, finished: str, split: bool = False) -> DataFrame:
     """doc_id and what ``finish`` makes of each document and the token ranges removed from it.
 
     ``compare`` gets the contexts and returns key, one, two, places and ``removed_columns``, a row
@@ -243,7 +266,8 @@ def remove_repeats(docs: DataFrame, windows: Windows, *, doc_id: str, text: str,
         _stage(finish), f"did long, tk long, text string, anchors array<long>, hot array<boolean>, {finished}"))
     discard(anchors, repeated)
     open_docs = staged.where("text is not null").select("did", "tk", "text", "anchors", "hot")
-    contexts = open_docs.mapInArrow(_contexts(windows), CONTEXTS)
+    splitters = sample_splitters(open_docs, windows) if split else []
+    contexts = open_docs.mapInArrow(_contexts(windows, splitters), CONTEXTS)
     answers = cut(compare(contexts))
     places = cut(open_docs.mapInArrow(_occurrences(windows), PLACES))
     met = join_counted(places, answers, ["key", "one", "two"], "places", "inner")
@@ -258,6 +282,19 @@ def remove_repeats(docs: DataFrame, windows: Windows, *, doc_id: str, text: str,
     return done.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), *columns)
 
 
+def sample_splitters(docs: DataFrame, windows: Windows, sample: int = 1000, most: int = 20_000) -> list[bytes]:
+    """Leading tokens that cut the suffixes of the contexts of ``docs`` into as many ranges of about equal
+    size as there are shuffle partitions, from at most ``most`` suffixes of about ``sample`` documents. They
+    decide where rows go, never what comes out."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, docs.count() // sample)
+    some = docs.where(F.pmod("tk", F.lit(every)) == 0).mapInArrow(_contexts(windows, []), CONTEXTS)
+    lead = F.when(F.col("lead") < 0, F.col("content")).otherwise(
+        F.substring("content", F.col("lead").cast("int") + 1, F.lit(windows.gram)))
+    suffixes = sorted(bytes(r["s"]) for r in some.select(lead.alias("s")).limit(most).collect())
+    return sorted({suffixes[len(suffixes) * k // parts] for k in range(1, parts)}) if suffixes else []
+
+
 def _stage(finish: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,12 +4,14 @@ A suffix automaton of a shard of reference passages says, for every place of a t
 how long the passage that ends there is and where it occurs first. The references are the corpus's own
 repeated passages, which have no size bound, so automata are not broadcast: passages and the
 contexts to be matched are dealt by their anchors (``repeats``), a shard holds whole groups
-of at most ``SHARD`` words, and its automaton lives in the task that its contexts are sent to.
+of about ``SHARD`` words, and its automaton lives in the task that its contexts are sent to. The windows
+of a group of many different contexts are dealt to several automata by their words.
 ``remove_known`` is the bounded case, with a given reference set and broadcast automata.
 """
 
 import hashlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,10 +54,29 @@ def first_places(contexts: list[tuple[int, int, list[bytes]]], size: int) -> Ite
         yield out
 
 
+def crowd_places(group: list[tuple], size: int) -> list[list[tuple[int, int]]]:
+    """``first_places`` for more contexts than one automaton should hold: their windows are dealt by
+    their words into classes of about ``SHARD`` words, an automaton each."""
+    classes = sum(g[3] for g in group) * size // SHARD + 1
+    dealt: list[list[tuple[int, int]]] = [[] for _ in range(classes)]
+    for k, g in enumerate(group):
+        words = g[7].split()
+        for j in range(len(words) - size + 1):
+            dealt[crc32(b" ".join(words[j: j + size])) % classes].append((k, j))
+    out = [[(0, 0)] * g[3] for g in group]
+    for places in dealt:
+        texts = [(group[k][5], group[k][6] + j, group[k][7].split()[j: j + size]) for k, j in places]
+        for (k, j), (first,) in zip(places, first_places(texts, size)):
+            out[k][j] = first
+    return out
+
+
 def _compare(size: int):
     def answer(group: list[tuple]) -> Iterator[tuple]:
-        for (key, one, two, windows, places, did, at, _), firsts in zip(
-                group, first_places([(g[5], g[6], g[7].split()) for g in group], size)):
+        crowd = sum(g[3] + size - 1 for g in group) > 5 * SHARD
+        found = crowd_places(group, size) if crowd else first_places(
+            [(g[5], g[6], g[7].split()) for g in group], size)
+        for (key, one, two, windows, places, did, at, _), firsts in zip(group, found):
             offs, dids, ats = [], [], []
             for j, (d, i) in enumerate(firsts):
                 if not offs or d != dids[-1] or i != ats[-1] + j - offs[-1]:
@@ -84,8 +105,12 @@ def _compare(size: int):
                             old[5], old[6] = did, at
                 if len(merged) == 1 and next(iter(merged.values()))[4] == 1:
                     continue  # a window beside a hot anchor that occurs once
+                more = sum(g[3] + size - 1 for g in merged.values())
+                if shard and held + more > SHARD:
+                    out += answer(shard)
+                    shard, held = [], 0
                 shard += merged.values()
-                held += sum(g[3] + size - 1 for g in merged.values())
+                held += more
                 if held > SHARD:
                     out += answer(shard)
                     shard, held = [], 0
@@ -138,7 +163,7 @@ TEXTS = "n_words long, n_removed long, kept string"
 
 
 def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = WORDS,
-                   gram: int | None = None, hot: int = 4096, finish=texts, finished: str = TEXTS) -> DataFrame:
+                   gram: int | None = None, hot: int = 50_000, finish=texts, finished: str = TEXTS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (or what ``finish`` gives instead).
 
     Words are what white space separates. A word goes if a window of ``size`` words around it also

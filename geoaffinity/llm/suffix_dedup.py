@@ -1,8 +1,7 @@
 """Repeated byte strings: every byte covered by a string that starts anywhere else goes.
 
 Suffixes of the corpus are range-partitioned by their leading tokens: the suffixes that start at
-anchors (``repeats``), with the bytes before them, dealt by Spark's sampled splitters on the anchor's
-bytes. A bucket sorts the windows of its contexts by multikey quicksort: all windows are split
+anchors (``repeats``), with the bytes before them, dealt by sampled splitters on the anchor's bytes. A bucket sorts the windows of its contexts by multikey quicksort: all windows are split
 by their first 8-byte symbol, and only groups of equal ones go on to the next, so
 neighbours that stay together to the end are equal. Splitters separate different leading tokens only, and
 inside a task the group that a batch ends in is carried over, so no equal windows are parted by a
@@ -16,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import spread
 from .grouped import group_starts, whole_groups
 from .repeats import Windows, remove_repeats
 from .text import text_bytes
@@ -23,6 +23,7 @@ from .text import text_bytes
 BYTES = 200
 GRAM = 32
 SYMBOL = 8
+SORTED = 1 << 20  # windows sorted at a time, about
 ANSWER = "key long, one long, two long, places long, offs array<long>"
 
 
@@ -65,11 +66,14 @@ def _compare(size: int):
             again = np.repeat(places > 1, count)
             many = np.flatnonzero(np.repeat(crowd > 1, count))
             if len(many):
-                # equal windows have their anchor at the same place
-                shift = np.repeat(lead, count)[many] - step[many]
-                group = np.repeat(bucket, count)[many] * (size + 2) + shift + 1
-                start = np.repeat(at[:-1], count)[many] + step[many]
-                again[many] |= equal_strings(data, start, group, size)
+                # equal windows have their anchor at the same place: few places at a time bound the memory
+                shift = (np.repeat(lead, count)[many] - step[many]).astype(np.int16)
+                for part in np.array_split(np.arange(-1, size), -(-len(many) // SORTED)):
+                    few = many[(shift >= part[0]) & (shift <= part[-1])] if len(part) else many[:0]
+                    if len(few):
+                        where = np.searchsorted(first, few, "right") - 1
+                        group = bucket[where] * (size + 2) + lead[where] - step[few]
+                        again[few] |= equal_strings(data, at[where] + step[few], group, size)
             opens, closes = again.copy(), again.copy()
             opens[1:] &= ~again[:-1] | (step[1:] == 0)
             closes[:-1] &= ~again[1:] | (step[1:] == 0)
@@ -123,7 +127,7 @@ REMAINS = "n_bytes long, removed array<array<long>>, kept binary"
 
 
 def dedup_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = BYTES,
-                gram: int | None = None, hot: int = 8192, finish=remains, finished: str = REMAINS) -> DataFrame:
+                gram: int | None = None, hot: int = 100_000, finish=remains, finished: str = REMAINS) -> DataFrame:
     """One row per document: doc_id, n_bytes, removed (byte ranges), kept (or what ``finish`` gives).
 
     A byte of the UTF-8 text goes if a string of ``size`` bytes around it also starts anywhere else, in the
@@ -137,8 +141,8 @@ def dedup_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         F.substring("content", F.col("lead").cast("int") + 1, F.lit(gram)))
 
     def compare(contexts: DataFrame) -> DataFrame:
-        ranged = contexts.withColumn("suffix", suffix).repartitionByRange("suffix")
+        ranged = spread(contexts.withColumn("suffix", suffix), "bucket")
         return ranged.sortWithinPartitions("suffix", "one", "two").mapInArrow(_compare(size), ANSWER)
 
     return remove_repeats(docs, windows, doc_id=doc_id, text=text, compare=compare, removed=_removed,
-                          removed_columns=["offs"], finish=finish, finished=finished)
+                          removed_columns=["offs"], finish=finish, finished=finished, split=True)
