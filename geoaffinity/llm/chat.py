@@ -21,6 +21,7 @@ BEGIN = "<s>"
 FRAMES = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("", "</s>")}
 OTHER = ("<<ROLE>>", "<</ROLE>>", "<</TURN>>")
 CONTROL = (BEGIN, *[c for f in FRAMES.values() for c in f if c], *OTHER)
+TEXT = 1 << 18  # characters encoded at a time, or one longer conversation
 FORMATTED = "formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 
 
@@ -96,21 +97,28 @@ def _encoder(tokenizer_file: str):
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in CONTROL])
-        for batch in batches:
-            texts, out = [], []
-            for turns in batch.column("turns").to_pylist():
-                texts.append(render([(t["role"], t["text"]) for t in turns]))
+        kinds = pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())
+
+        def encoded(ids: pa.Array, texts: list[tuple[str, list]]) -> pa.RecordBatch:
+            out = []
             for (text, spans), code in zip(texts, tokenizer.encode_batch([t for t, _ in texts],
                                                                          add_special_tokens=False)):
                 at = np.array(code.offsets, np.int32).reshape(-1, 2)
-                mask = loss_mask(at[:, 0], at[:, 1], spans)
-                out.append((text, code.ids, at[:, 0], at[:, 1], mask))
-            kinds = pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())
-            cols = zip(*out) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]],
+                out.append((text, np.array(code.ids, np.int32), at[:, 0], at[:, 1],
+                            loss_mask(at[:, 0], at[:, 1], spans)))
+            return pa.RecordBatch.from_arrays(
+                [ids, *[pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]],
                 names=["conv_id", "formatted", "ids", "starts", "ends", "loss"])
 
+        for batch in batches:
+            turns, texts, held, first = batch.column("turns"), [], 0, 0
+            for k in range(batch.num_rows):
+                texts.append(render([(t["role"], t["text"]) for t in turns[k].as_py()]))
+                held += len(texts[-1][0])
+                if held > TEXT or k == batch.num_rows - 1:  # offsets are large: a bounded text at a time
+                    yield encoded(batch.column("conv_id").slice(first, k + 1 - first), texts)
+                    texts, held, first = [], 0, k + 1
+
     return run
 
 
@@ -131,13 +139,18 @@ def format_chats(turns: DataFrame, tokenizer_file: str, *, conv_id: str = "conv_
     return whole.mapInArrow(_encoder(tokenizer_file), f"conv_id {kind}, {FORMATTED}")
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def read_back(chats: DataFrame) -> DataFrame:
     """conv_id, turns (role, text) and loss_text, from the formatted text, offsets and mask alone."""
     kind = chats.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 64)):
             rows = batch.select(["formatted", "starts", "ends", "loss"]).to_pylist()
             turns = [[{"role": r, "text": t} for r, t in parse(row["formatted"])] for row in rows]
             loss = [masked_text(**row) for row in rows]
