@@ -28,7 +28,8 @@ from .text import PIECE, SpanHash, row_blocks, text_bytes
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)  # by selector; 60 // count bits each
 BLOCK = 1024  # ids
 CHUNK = 1 << 20  # ids, or one longer document
-CACHE = 300_000  # distinct pieces of text remembered by a task
+CACHE = 200_000  # distinct pieces of text remembered by a task
+JOINED = 500  # pieces that go through the tokenizer in one string
 
 
 # --- coding -----------------------------------------------------------------------
@@ -48,6 +49,10 @@ def _windows(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield count, head
 
 
+_POWERS = np.uint64(1) << np.arange(60, dtype=np.uint64)
+_SMALL = np.maximum(np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), "right"), 1).astype(np.uint8)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the first word of each block, and escapes, of unsigned 64-bit ids."""
     ids = np.ascontiguousarray(ids, np.uint64)
@@ -55,8 +60,9 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
     wide = np.flatnonzero(ids >> np.uint64(60))
-    powers = np.uint64(1) << np.arange(60, dtype=np.uint64)
-    width = np.maximum(np.searchsorted(powers, ids, "right"), 1).astype(np.uint8)
+    width = _SMALL[np.minimum(ids, len(_SMALL) - 1).astype(np.int64)]
+    large = np.flatnonzero(ids >= len(_SMALL))
+    width[large] = np.searchsorted(_POWERS, ids[large], "right")
     width[wide] = 254
     place = np.arange(n)
     room = np.minimum(block - place % block, n - place)
@@ -131,48 +137,98 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.hashes = SpanHash(1), SpanHash(2)
-        self._forget()
-
-    def _forget(self) -> None:
+        self.hash, self.check = SpanHash(1), SpanHash(2)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: bytes of each id: a byte-level token has one character per byte
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.known: dict[bytes, int] = {}
-        self.ids, self.first = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        self.ids, self.first, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def _look_up(self, pieces: list[bytes]) -> np.ndarray:
+    def _forget(self) -> None:
+        """Keep only the pieces that several blocks of text had, half of the cache at most."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > CACHE // 2:
+            kept = kept[:0]
+        size = self.first[kept + 1] - self.first[kept]
+        before = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.first[kept] - before, size) + np.arange(int(size.sum()))]
+        self.first = np.concatenate(([0], np.cumsum(size)))
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.uses = np.ones(len(kept), np.int32)
+
+    def _look_up(self, pieces: list[bytes], plain: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries of distinct pieces; ``plain`` ones start like a cut, ``size`` is in bytes."""
         if len(self.known) > CACHE:
             self._forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            coded = [c.ids for c in coded]
-            sizes = np.cumsum([len(c) for c in coded])
-            self.ids.append(np.array([i for c in coded for i in c], np.int64))
-            self.first.append(sizes + self.first[-1][-1])
-            self.ids, self.first = [np.concatenate(self.ids)], [np.concatenate(self.first)]
-        return np.array([known[p] for p in pieces], np.int64)
+        known, old = self.known, len(self.known)
+        entry = np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)
+        new = np.flatnonzero(entry >= old)
+        if len(new):
+            new = new[np.argsort(entry[new], kind="stable")]
+            new = new[np.diff(entry[new], prepend=old - 1) > 0]
+            ids, sizes = self._code([pieces[k] for k in new.tolist()], plain[new], size[new])
+            self.ids = np.concatenate([self.ids, ids])
+            self.first = np.concatenate([self.first, np.cumsum(sizes) + self.first[-1]])
+            self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int32)])
+        self.uses[entry] += 1  # each piece is looked up once a block
+        return entry
+
+    def _code(self, pieces: list[bytes], plain: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, end to end, and the number of ids of each.
+
+        Pieces that start like a cut (a space and something visible) go through the tokenizer joined, and
+        the ids are told apart by their numbers of bytes; the others go alone.
+        """
+        alone, joined = np.flatnonzero(~plain), np.flatnonzero(plain)
+        together = [pieces[k] for k in joined.tolist()] if len(alone) else pieces
+        runs = [pieces[k] for k in alone.tolist()]
+        runs += [b"".join(together[i: i + JOINED]) for i in range(0, len(together), JOINED)]
+        codes = self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
+        flat = np.array([k for code in codes for k in code.ids], np.int32)
+        order = np.concatenate([alone, joined])
+        last = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(size[order]), "right")
+        sizes = np.empty(len(pieces), np.int64)
+        sizes[order] = np.diff(last, prepend=0)
+        start = np.empty(len(pieces), np.int64)
+        start[order] = last - sizes[order]
+        before = np.cumsum(sizes) - sizes
+        return flat[np.repeat(start - before, sizes) + np.arange(len(flat))], sizes
+
+    def _differ(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> bool:
+        """Whether some piece is not the piece ``model`` stands for: the first and last 8 bytes say
+        it for up to 16 bytes, a second hash for more."""
+        size = ends - starts
+        padded = np.concatenate([np.zeros(8, np.uint8), raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))
+        head = eight[starts + 8] << (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+        tail = np.where(size > 8, eight[ends], 0)
+        if any(not np.array_equal(x, x[model]) for x in (size, head, tail)):
+            return True
+        long = np.flatnonzero(size > 16)
+        models, which = np.unique(model[long], return_inverse=True)
+        second = self.check.bytes(raw, starts[long], ends[long])
+        return not np.array_equal(second, self.check.bytes(raw, starts[models], ends[models])[which])
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, end to end, and the number of ids of each row."""
         if not len(raw):
-            return np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
         begins = np.zeros(len(raw), bool)
         begins[:-1] = (raw[:-1] == 32) & _SOLID[raw[1:]]
+        plain = begins.copy()
         begins[at[:-1][at[:-1] < len(raw)]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(raw))
-        h, second = (x.bytes(raw, starts, ends) for x in self.hashes)
-        _, sample, which = np.unique(h, return_index=True, return_inverse=True)
-        if not np.array_equal(second, second[sample][which]):  # two pieces share a hash
+        _, sample, which = np.unique(self.hash.bytes(raw, starts, ends), return_index=True, return_inverse=True)
+        if self._differ(raw, starts, ends, sample[which]):  # two pieces share a hash
             sample = which = np.arange(len(starts))
-        view = memoryview(np.ascontiguousarray(raw))
-        entry = self._look_up([bytes(view[a:b]) for a, b in
-                               zip(starts[sample].tolist(), ends[sample].tolist())])
-        first, ids = self.first[0], self.ids[0]
-        begin, size = first[entry][which], (first[entry + 1] - first[entry])[which]
+        text, low, high = raw.tobytes(), starts[sample], ends[sample]
+        entry = self._look_up([text[a:b] for a, b in zip(low.tolist(), high.tolist())], plain[low], high - low)
+        begin, size = self.first[entry], np.diff(self.first)[entry]
+        begin, size = begin[which], size[which]
         before = np.cumsum(size) - size
-        out = ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
+        out = self.ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
         edge = np.append(before, len(out))[np.searchsorted(starts, at)]
         return out, np.diff(edge)
 
@@ -194,7 +250,7 @@ def _chunks(tokenizer_file: str, end_id: int | None, schema: pa.Schema):
 
         for batch in batches:
             raw, at = text_bytes(batch.column("text"))
-            for a, b in row_blocks(at, 4 * PIECE):
+            for a, b in row_blocks(at, 6 * PIECE):
                 flat, lengths = encoder.encode(raw[at[a]: at[b]], at[a: b + 1] - at[a])
                 if end_id is not None:
                     flat = np.insert(flat, np.cumsum(lengths), end_id)
