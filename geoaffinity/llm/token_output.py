@@ -27,8 +27,8 @@ from .text import PIECE, SpanHash, row_blocks, text_bytes
 
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)  # by selector; 60 // count bits each
 BLOCK = 1024  # ids
-CHUNK = 1 << 20  # ids, or one longer document
-CACHE = 200_000  # distinct pieces of text remembered by a task
+CHUNK = 1 << 18  # ids, or one longer document
+CACHE = 100_000  # distinct pieces of text remembered by a task
 JOINED = 500  # pieces that go through the tokenizer in one string
 
 
@@ -250,7 +250,7 @@ def _chunks(tokenizer_file: str, end_id: int | None, schema: pa.Schema):
 
         for batch in batches:
             raw, at = text_bytes(batch.column("text"))
-            for a, b in row_blocks(at, 6 * PIECE):
+            for a, b in row_blocks(at, 2 * PIECE):
                 flat, lengths = encoder.encode(raw[at[a]: at[b]], at[a: b + 1] - at[a])
                 if end_id is not None:
                     flat = np.insert(flat, np.cumsum(lengths), end_id)
