@@ -204,7 +204,11 @@ def near_copies(docs: DataFrame, *, radius: int = RADIUS, piece: int = PIECE, **
 def one_per_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The document with the smallest id of each group of near copies (a null id comes last),
     columns as in ``docs``. Of repeated rows one stays."""
-    found = near_copies(docs, doc_id=doc_id, text=text, **options)
+    return first_rows(docs, near_copies(docs, doc_id=doc_id, text=text, **options), doc_id, text)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that stay, of groups ``found(doc_id, text_key, root)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("k")
     stay = cut(found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
                .groupBy("root").agg(first).select(F.col("k.doc_id").alias("_stay_id"),
