@@ -22,7 +22,6 @@ WIDTH = 500.0     # kernel width in metres
 NEAR = 1000.0     # graph radius in metres
 RANK = 8          # factor length of the single-step queries
 FOLDS = 10        # repeats of the row-level split, the recommenders and the models
-STEPS = 3         # training steps of the model queries
 WEEK = ("20240108", "20240114")  # read back by pruning
 
 QUERIES: dict[str, Query] = {}
@@ -748,7 +747,7 @@ def rank_loss(spark, sf):
     return shape(factor.rank_loss(*_start(spark, sf), RANK), fold="bigint", loss=6, pairs="bigint")
 
 
-OPTIONS = factor.FitOptions(rank=RANK, max_iter=STEPS)
+OPTIONS = factor.FitOptions(rank=RANK)
 
 
 def _gradients(spark, sf):
@@ -804,18 +803,27 @@ def topn_by_factor(spark, sf):
 
 # ---- trained models -----------------------------------------------------------
 # What a trained model returns depends on long sums, so these queries state facts about it that SQL can
-# check: how many users, items and rows it stands for, and that nothing that must hold is broken.
+# check: how many users, items and rows it stands for, and that nothing that must hold is broken. Models are
+# trained with the defaults of the programs: rank 20, until the step is below tol or for 100 steps.
+
+MODEL = factor.FitOptions()
 
 FACTS = dict(fold="bigint", train_rows="bigint", valid_rows="bigint", users="bigint", items="bigint",
              truth_users="bigint", broken="bigint")
 
 
-def _broken_steps(history):
-    """Per fold, steps after which the loss is higher than the accepted width allows."""
-    bad = {}
+def _broken_steps(history, options=MODEL):
+    """Per fold, steps after which the loss is higher than the accepted width allows, one more if training
+    stopped before ``tol`` and before its last step, and one if it did not lower the loss."""
+    bad, first, last = {}, {}, {}
     for h in history:
         worse = h["loss_after"] > h["loss"] - h["width"] * h["slope"] + 1e-12
         bad[h["fold"]] = bad.get(h["fold"], 0) + int(worse or h["loss_after"] != h["loss_after"])
+        first.setdefault(h["fold"], h)
+        last[h["fold"]] = h
+    for fold, h in last.items():
+        short = h["width"] * h["slope"] >= options.tol and h["step"] + 1 < options.max_iter
+        bad[fold] += int(short) + int(not h["loss_after"] < first[fold]["loss"])
     return bad
 
 
@@ -846,28 +854,28 @@ def _trained(spark, trained: programs.Trained):
 
 @query
 def train_logistic_mf(spark, sf):
-    return _trained(spark, programs.logistic_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
+    return _trained(spark, programs.logistic_model(fx.interactions(spark, sf, FOLDS), MODEL))
 
 
 @query
 def train_logistic_mf_neg(spark, sf):
-    return _trained(spark, programs.logistic_model(fx.interactions(spark, sf, FOLDS), OPTIONS, times=1,
+    return _trained(spark, programs.logistic_model(fx.interactions(spark, sf, FOLDS), MODEL, times=1,
                                                    mode="bernoulli"))
 
 
 @query
 def train_weighted_mf(spark, sf):
-    return _trained(spark, programs.weighted_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
+    return _trained(spark, programs.weighted_model(fx.interactions(spark, sf, FOLDS), MODEL))
 
 
 @query
 def train_bpr(spark, sf):
-    return _trained(spark, programs.ranking_model(fx.interactions(spark, sf, FOLDS), OPTIONS))
+    return _trained(spark, programs.ranking_model(fx.interactions(spark, sf, FOLDS), MODEL))
 
 
 @query
 def train_graph_mf(spark, sf):
-    return _trained(spark, programs.weighted_model(fx.interactions(spark, sf, FOLDS), OPTIONS,
+    return _trained(spark, programs.weighted_model(fx.interactions(spark, sf, FOLDS), MODEL,
                                                    edges=_friends(spark, sf)))
 
 
