@@ -6,7 +6,6 @@ repeated passages, which have no size bound, so automata are not broadcast: pass
 contexts to be matched are dealt by their anchors (``repeats``), a shard holds whole groups
 of about ``SHARD`` words, and its automaton lives in the task that its contexts are sent to. The windows
 of a group of many different contexts are dealt to several automata by their words.
-``remove_known`` is the bounded case, with a given reference set and broadcast automata.
 """
 
 import hashlib

@@ -1,0 +1,10 @@
+"""Docstrings name functions that exist."""
+
+import re
+
+from geoaffinity.llm import substring_dedup
+
+
+def test_substring_dedup():
+    named = re.findall(r"``([a-z]+_[a-z_]+)``", substring_dedup.__doc__)
+    assert all(hasattr(substring_dedup, n) for n in named)
