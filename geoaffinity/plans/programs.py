@@ -107,7 +107,7 @@ class AlsTrained:
 
 def _train(split: DataFrame, options: factor.FitOptions, n: int, **kind) -> Trained:
     train, valid = _parts(split)
-    model = factor.fit(train.drop("part"), options, **kind)
+    model = factor.fit(train.drop("part"), options, watch=cut(valid.drop("part")), **kind)
     return Trained(model, _metrics(train, valid, model, n), split)
 
 
@@ -137,8 +137,8 @@ def ranking_model(interactions: DataFrame, options: factor.FitOptions, times: in
                   n: int = 10) -> Trained:
     """Pairwise ranking; scored on users that have both classes in both parts."""
     train, valid = _parts(labelled_samples(interactions, times))
-    train, valid = cut(_both_classes(train)), _both_classes(valid)
-    model = factor.fit(train.drop("part"), options, pairwise=True)
+    train, valid = cut(_both_classes(train)), cut(_both_classes(valid))
+    model = factor.fit(train.drop("part"), options, pairwise=True, watch=valid.drop("part"))
     return Trained(model, _metrics(train, valid, model, n), train.unionByName(valid))
 
 
