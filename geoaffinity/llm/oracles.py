@@ -87,5 +87,39 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        ({len(BEGIN)} + sum({_framed()}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
+""",
+    "op11_source_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+     o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+     k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL),
+     f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+           FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+     p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2))
+                  // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source))::HUGEINT AS p
+           FROM f),
+     l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM f GROUP BY lang, term),
+     q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2))
+                  // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang))::HUGEINT AS q
+           FROM l),
+     apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+               FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+               GROUP BY a.lang, a.source, b.source),
+     pair AS (SELECT g.lang, g.source, h.source AS item, coalesce(value, 0) AS value
+              FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+              LEFT JOIN apart x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source),
+     best AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+              FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+     ranked AS (SELECT lang, source, 'pair' AS part, item, value,
+                       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+                UNION ALL
+                SELECT lang, source, 'term', item, value,
+                       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM best)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }

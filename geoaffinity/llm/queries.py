@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, mixing, secret_scan, simhash, substring_dedup, suffix_dedup, token_output, toxicity
+from . import (chat, decontaminate, exact_dedup, mixing, secret_scan, simhash, source_audit, substring_dedup, suffix_dedup,
+               token_output, toxicity)
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,4 +93,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and callable(f)}

@@ -41,7 +41,7 @@ def rows(spark, name):
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
 
-    assert sorted(q.split("_")[0] for q in QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(q.split("_")[0] for q in QUERIES) == sorted(f"op{n}" for n in range(1, 12))
     assert QUERIES.keys() | {"pipeline"} <= queries().keys() and ORACLES.keys() <= oracle_sql().keys()
 
 
