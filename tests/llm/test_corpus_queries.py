@@ -13,8 +13,11 @@ from check_oracles import compare, duck
 from test_decontaminate import words as item_words
 from test_exact_and_mixing import targets
 from test_learned import base
+from test_ngram_join import linked
 from test_repeats import removed_bytes, removed_words
+from test_shingle_copies import kept
 from test_simhash import plain_fingerprint, roots
+from test_token_alignment import expected
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -41,7 +44,7 @@ def rows(spark, name):
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
 
-    assert sorted(q.split("_")[0] for q in QUERIES) == sorted(f"op{n}" for n in range(1, 12))
+    assert sorted(q.split("_")[0] for q in QUERIES) == sorted(f"op{n}" for n in range(1, 14))
     assert QUERIES.keys() | {"pipeline"} <= queries().keys() and ORACLES.keys() <= oracle_sql().keys()
 
 
@@ -96,6 +99,14 @@ def test_op8(spark, docs):
         assert [s for s in row["spans"].split(",") if s and not s.startswith(secret_scan.LEARNED)] == joined
 
 
+def test_op12(spark, docs):
+    assert rows(spark, "op12_ngram_join") == sorted(linked([d[:2] for d in docs]), key=str)
+
+
+def test_op13(spark, docs):
+    assert rows(spark, "op13_token_alignment") == sorted(expected([d[:2] for d in docs]), key=str)
+
+
 def test_pipeline(spark, docs):
     """Each stage on what the one before kept, against plain Python."""
     columns = "doc_id, text, lang, source, n_chars".split(", ")
@@ -113,8 +124,8 @@ def test_pipeline(spark, docs):
     assert sum(toxic.get(d[0]) == 1 for d in clean) <= 0.4 * sum(toxic.values())
 
     clean.sort()
-    root = roots([plain_fingerprint(d[1]) for d in clean], [0] * len(clean), 2)
-    assert sorted(single) == [d for i, d in enumerate(clean) if root[i] == i]
+    stay = set(kept([d[:2] for d in clean]))
+    assert sorted(single) == [d for d in clean if d[0] in stay]
 
     items = [item_words(t) for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
     windows = {tuple(w[i: i + 10]) for w in items for i in range(len(w) - 9)}
