@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geoaffinity.functions import (dot, log_loss, logistic, norm2, random_unit_vector, softplus,
                                    sum_vectors)
+from geoaffinity.operators import blocks
 from geoaffinity.operators.pairwise import pair_errors, pair_losses
 from geoaffinity.operators.splits import seed_of
 from geoaffinity.runtime import cut, discard, spread
@@ -309,7 +310,72 @@ def fit(samples: DataFrame, options: FitOptions, edges: DataFrame | None = None,
     log-loss by the ranking loss over used and unused items of a user; users with only
     one of the two kinds compare nothing and should be left out. With ``watch``, further rows of the
     same form, ``history`` holds their mean loss after each step.
+
+    Trained on packed blocks if the items fit into one row per fold and, with ``edges``, the users into few
+    blocks; otherwise by joins. Both take the same steps.
     """
+    samples = cut(samples)
+    ids = blocks.catalogue(samples)
+    if ids is not None:
+        users, items = (cut(factor_init(samples, key, options.rank)) for key in ("u", "d"))
+        packed = blocks.pack(samples, users, items, ids, options.rank, pairwise, watch)
+        if edges is None or packed.blocks <= blocks.GRID:
+            friends = None if edges is None else blocks.friend_cells(edges, packed.blocks)
+            return _fit_blocks(packed, options, friends)
+    return fit_joined(samples, options, edges, pairwise, watch)
+
+
+def _fit_blocks(packed: blocks.Packed, options: FitOptions, friends: DataFrame | None) -> FactorModel:
+    """Two actions a step; more widths are tried in a third one if none of the first few will do."""
+    cells, state = packed.cells, packed.state
+    moves = {r.fold: (0.0, 0.0) for r in state.where("ub < 0").select("fold").orderBy("fold").collect()}
+    done_users, done_items, history, tried = [], [], [], 4
+    for number in range(options.max_iter):
+        old = state
+        state, norms = blocks.gradient_state(packed, cells, old, moves, options.lp, options.lq, options.lg, friends)
+        scales = {f: tuple(map(_inverse, n)) for f, n in norms.items()}
+        report, losses, open_folds, widths = {}, {}, sorted(moves), [0.0, *STEP_WIDTHS[:tried]]
+        while open_folds:
+            some = cells if len(open_folds) == len(moves) else cells.where(F.col("fold").isin(open_folds))
+            found = blocks.width_losses(packed, some, state, scales, widths)
+            for fold in open_folds:
+                n, means = found[fold, False]
+                for held_out in (False, True):
+                    seen = found.get((fold, held_out), (0, [None] * len(widths)))[1]
+                    losses.setdefault((fold, held_out), {}).update(zip(widths, seen))
+                at = losses[fold, False]
+                slope = options.c * sum(norms[fold]) / n
+                width = next((w for w in STEP_WIDTHS if w in at and at[w] <= at[0.0] - w * slope), 0.0)
+                if width or len(at) > len(STEP_WIDTHS):
+                    report[fold] = {"fold": fold, "width": width, "slope": slope, "loss": at[0.0], "loss_after": at[width]}
+            open_folds = [f for f in open_folds if f not in report]
+            widths = STEP_WIDTHS[tried:]
+        if number:
+            discard(old)
+        moves = {f: tuple(r["width"] * s for s in scales[f]) for f, r in report.items()}
+        history += [{"step": number, **r, "watched_loss": losses[f, True][r["width"]]} for f, r in sorted(report.items())]
+        finished = [f for f, r in report.items() if r["width"] * r["slope"] < options.tol]
+        last = number == options.max_iter - 1
+        if finished or last:
+            out = sorted(moves) if last else finished
+            at_end = cut(state.where(F.col("fold").isin(out)))
+            done_users.append(blocks.vectors(packed, at_end, moves, "u"))
+            done_items.append(blocks.vectors(packed, at_end, moves, "d"))
+            if len(out) == len(moves):
+                discard(state)
+                break
+            moves = {f: m for f, m in moves.items() if f not in finished}
+            cells, keep = (df.where(~F.col("fold").isin(finished)) for df in (cells, state))
+            state, rest = cut(keep), state
+            discard(rest)
+        used = [STEP_WIDTHS.index(r["width"]) if r["width"] else len(STEP_WIDTHS) for r in report.values()]
+        tried = min(len(STEP_WIDTHS), max(4, 3 + max(used)))
+    return FactorModel(cut(union_all(done_users)), cut(union_all(done_items)), history)
+
+
+def fit_joined(samples: DataFrame, options: FitOptions, edges: DataFrame | None = None,
+        pairwise: bool = False, watch: DataFrame | None = None) -> FactorModel:
+    """``fit`` for catalogues of any size: samples meet both factor tables in joins at every step."""
     # Rows of a user lie together, so every later partial sum by user is short.
     samples = cut(spread(samples, *USER))
     users = cut(factor_init(samples, "u", options.rank))

@@ -1,11 +1,12 @@
 """Sums over the used-unused comparisons of bounded list pairs.
 
-Spark cuts every user into list pairs of limited length and shuffles them; a
-task reads the lists as Arrow buffers and lets numpy run over each pair, so the
-comparisons themselves never become rows.
+Spark cuts every user into list pairs of limited length and shuffles them; a task reads the lists of many users end to
+end and numpy runs over slabs of their comparisons, so neither comparisons nor users are looped over
+in Python and no comparison becomes a row.
 """
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,36 +14,99 @@ from pyspark.sql import DataFrame, functions as F
 
 from geoaffinity.operators.sampling import rank_chunks
 
+PAIRS = 1 << 18  # comparisons at a time, or one item's against one list
 
-def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    """The lists of a column as slices of one buffer."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-    return np.split(flat, ends[:-1])
 
+def steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. inside each of the runs of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-def _softplus(z: np.ndarray) -> np.ndarray:
+
+def run_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of these sizes; an empty run is 0."""
+    out, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+@dataclass
+class Segments:
+    """List pairs in one array: where the used and the unused items of each begin, and how many there are."""
+
+    used_from: np.ndarray
+    used: np.ndarray
+    unused_from: np.ndarray
+    unused: np.ndarray
+
+    def slabs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """All comparisons, about ``PAIRS`` at a time: for some used items their segments and places, how many
+        unused ones each meets, and the places of those, one after another."""
+        own = np.repeat(np.arange(len(self.used)), self.used)
+        mine = np.repeat(self.used_from, self.used) + steps(self.used)
+        many, begin = self.unused[own], self.unused_from[own]
+        ends, k = np.cumsum(many), 0
+        while k < len(mine):
+            stop = max(k + 1, int(np.searchsorted(ends, ends[k] - many[k] + PAIRS, "right")))
+            n = many[k:stop]
+            yield own[k:stop], mine[k:stop], n, np.repeat(begin[k:stop], n) + steps(n)
+            k = stop
+
+
+def slopes(lists: Segments, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place the sum of ``logistic(z_used - z_unused) - 1`` over its comparisons (minus that for an unused
+    item), and their number."""
+    e, n = np.zeros(len(z)), np.zeros(len(z), np.int64)
+    for _, mine, many, other in lists.slabs():
+        with np.errstate(over="ignore"):
+            slope = 1.0 / (1.0 + np.exp(z[other] - np.repeat(z[mine], many))) - 1.0
+        e[mine] += run_sums(slope, many)
+        n[mine] += many
+        e -= np.bincount(other, slope, len(z))
+        n += np.bincount(other, minlength=len(z))
+    return e, n
+
+
+def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
 
 
+def losses(lists: Segments, scores: Sequence[np.ndarray]) -> np.ndarray:
+    """Per segment and score the sum of ``softplus(z_unused - z_used)`` over its comparisons."""
+    out = np.zeros((len(lists.used), len(scores)))
+    calm = all(np.abs(z).max(initial=0.0) < 300.0 for z in scores)  # then products of exponentials are finite
+    powers = [np.exp(z) for z in scores] if calm else scores
+    for own, mine, many, other in lists.slabs():
+        for k, z in enumerate(powers):
+            if calm:
+                value = np.log1p(z[other] * np.repeat(1.0 / z[mine], many))
+            else:
+                value = softplus(z[other] - np.repeat(z[mine], many))
+            np.add.at(out[:, k], own, run_sums(value, many))
+    return out
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, and the lengths of its lists."""
+    column = batch.column(name)
+    return (column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _segments(used: np.ndarray, unused: np.ndarray) -> Segments:
+    """Lists of these lengths, all used items before all unused ones."""
+    return Segments(np.cumsum(used) - used, used, used.sum() + np.cumsum(unused) - unused, unused)
+
+
 def _loss_sums(scores: Sequence[str], widths: Sequence[float], names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            used = [_lists(batch.column(f"p_{c}")) for c in scores]
-            unused = [_lists(batch.column(f"n_{c}")) for c in scores]
-            sums = np.zeros((batch.num_rows, len(widths)))
-            pairs = np.zeros(batch.num_rows, dtype=np.int64)
-            for row in range(batch.num_rows):
-                # Difference of the two scores as a polynomial of the width.
-                parts = [u[row][:, None] - n[row][None, :] for u, n in zip(used, unused)]
-                pairs[row] = parts[0].size
-                for i, w in enumerate(widths):
-                    z = sum(part * (-w) ** power for power, part in enumerate(parts))
-                    sums[row, i] = _softplus(-z).sum()
+            # The score after a step is a polynomial of its width.
+            terms = [np.concatenate([_flat(batch, f"p_{c}")[0], _flat(batch, f"n_{c}")[0]]) for c in scores]
+            lists = _segments(*(_flat(batch, f"{side}_{scores[0]}")[1] for side in "pn"))
+            moved = [sum(t * (-w) ** power for power, t in enumerate(terms)) for w in widths]
+            sums = losses(lists, moved)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("fold"), pa.array(pairs),
+                [batch.column("fold"), pa.array(lists.used * lists.unused),
                  *[pa.array(sums[:, i]) for i in range(len(widths))]], ["fold", "n", *names])
 
     return run
@@ -67,24 +131,15 @@ def pair_losses(scored: DataFrame, scores: Sequence[str], widths: Sequence[float
 
 def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        used, unused = _lists(batch.column("p_d")), _lists(batch.column("n_d"))
-        zp, zn = _lists(batch.column("p_z")), _lists(batch.column("n_z"))
-        items, errors, counts, as_used = [], [], [], []
-        for pd, nd, p, n in zip(used, unused, zp, zn):
-            with np.errstate(over="ignore"):
-                slope = 1.0 / (1.0 + np.exp(n[None, :] - p[:, None])) - 1.0
-            items += [pd, nd]
-            errors += [slope.sum(axis=1), -slope.sum(axis=0)]
-            counts += [np.full(len(pd), len(nd)), np.full(len(nd), len(pd))]
-            as_used += [np.full(len(pd), len(nd)), np.zeros(len(nd), dtype=np.int64)]
-        sizes = np.array([len(a) + len(b) for a, b in zip(used, unused)])
-        owner = np.repeat(np.arange(batch.num_rows), sizes)
+        (used, a), (unused, b) = _flat(batch, "p_d"), _flat(batch, "n_d")
+        lists = _segments(a, b)
+        e, n = slopes(lists, np.concatenate([_flat(batch, "p_z")[0], _flat(batch, "n_z")[0]]))
+        rows = np.arange(batch.num_rows)
+        owner = pa.array(np.concatenate([np.repeat(rows, a), np.repeat(rows, b)]))
+        as_used = np.where(np.arange(len(n)) < len(used), n, 0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("fold").take(pa.array(owner)), batch.column("u").take(pa.array(owner)),
-             pa.array(np.concatenate(items)), pa.array(np.concatenate(errors)),
-             pa.array(np.concatenate(counts)), pa.array(np.concatenate(as_used))],
+            [batch.column("fold").take(owner), batch.column("u").take(owner),
+             pa.array(np.concatenate([used, unused]).astype(np.int64)), pa.array(e), pa.array(n), pa.array(as_used)],
             ["fold", "u", "d", "e", "n", "np"])
 
 

@@ -1,9 +1,14 @@
 """Negative sampling and rank samples without touching every user-item pair."""
 
+import math
+from collections.abc import Iterator
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from geoaffinity.functions import hash_uniform
-from geoaffinity.operators.splits import seed_of
+from geoaffinity.operators.splits import SEED, seed_of
 from geoaffinity.runtime import CHUNK, chunk_count, chunk_of, ordered_prefix
 
 STRIDE = 4096  # positions of one piece of a long walk
@@ -34,10 +39,11 @@ def add_negatives(positives: DataFrame, items: DataFrame, times: int,
     ``times = 0``: positives only. ``times = -1``: every unused item, as rows, which grow with
     users x items (``unused_counts`` keeps them factored). Otherwise,
     for a user with c positives and N unused items, ``exact`` gives
-    ``min(times c, N)`` unused items without replacement; ``bernoulli`` draws
-    about as many by chance and keeps the first ``times c`` in item order.
+    ``min(times c, N)`` unused items without replacement; ``bernoulli`` draws each unused item
+    independently with probability ``times c / N`` and keeps the first ``times c`` in item order
+    (``bernoulli_draws``).
 
-    Every user walks the items in a permutation of its own,
+    In mode ``exact`` every user walks the items in a permutation of its own,
     ``(a j + b) mod P`` with P the first prime not below the item count and a, b
     hashed from the user. A walk of ``times c + c`` steps (plus the gap up to P)
     must meet enough unused items, so the work follows the positives and not
@@ -48,29 +54,14 @@ def add_negatives(positives: DataFrame, items: DataFrame, times: int,
     if times == 0:
         return base
     n, numbered = _numbered_items(items)
-    prime = next_prime(n)
-    seed = seed_of(F.col("fold"))
     want = F.col("c") * times
-    if times == -1:
-        steps = F.lit(prime)
-    elif mode == "exact":
-        steps = want + F.col("c") + (prime - n)
-    elif mode == "bernoulli":
-        steps = F.ceil(want * prime / F.greatest(F.lit(1), F.lit(n) - F.col("c")))
-    else:
+    if mode not in ("exact", "bernoulli"):
         raise ValueError(f"unknown mode {mode!r}")
-    users = (
-        positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("steps", F.least(steps, F.lit(prime)).cast("bigint"))
-        .withColumn("a", 1 + F.floor(hash_uniform(seed, F.col("u"), "a") * (prime - 1)))
-        .withColumn("b", F.floor(hash_uniform(seed, F.col("u"), "b") * prime))
-    )
-    pieces = users.withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("steps") / STRIDE) - 1)))
-    walk = pieces.withColumn("j", F.explode(F.sequence(
-        F.col("piece") * STRIDE, F.least(F.col("steps"), (F.col("piece") + 1) * STRIDE) - 1)))
-    idx = F.pmod(F.col("a") * F.col("j") + F.col("b"), F.lit(prime))
-    walk = walk.withColumn("idx", idx).where(F.col("idx") < n)
+    users = positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    if mode == "bernoulli" and times != -1:
+        walk = bernoulli_draws(users, n, times).withColumn("steps", F.lit(n).cast("bigint"))
+    else:
+        walk = _permuted_walk(users, n, F.lit(next_prime(n)) if times == -1 else want + F.col("c") + (next_prime(n) - n))
     kind = positives.schema["d"].dataType
     if numbered is None:
         walk = walk.withColumn("d", F.col("idx").cast(kind))
@@ -83,6 +74,62 @@ def add_negatives(positives: DataFrame, items: DataFrame, times: int,
     return base.unionByName(unused.select(*keys, "d", F.lit(0).alias("x")))
 
 
+def _permuted_walk(users: DataFrame, n: int, steps) -> DataFrame:
+    """``users`` once for each of the first ``steps`` places of a permutation of their own, with the item number ``idx``."""
+    prime, seed = next_prime(n), seed_of(F.col("fold"))
+    users = (
+        users.withColumn("steps", F.least(steps, F.lit(prime)).cast("bigint"))
+        .withColumn("a", 1 + F.floor(hash_uniform(seed, F.col("u"), "a") * (prime - 1)))
+        .withColumn("b", F.floor(hash_uniform(seed, F.col("u"), "b") * prime))
+    )
+    pieces = users.withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("steps") / STRIDE) - 1)))
+    walk = pieces.withColumn("j", F.explode(F.sequence(
+        F.col("piece") * STRIDE, F.least(F.col("steps"), (F.col("piece") + 1) * STRIDE) - 1)))
+    idx = F.pmod(F.col("a") * F.col("j") + F.col("b"), F.lit(prime))
+    return walk.withColumn("idx", idx).where(F.col("idx") < n)
+
+
+def _gaps(n: int, times: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, idx = [], []
+
+            def out() -> pa.RecordBatch:
+                names = ["fold", "u", "c"]
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row, pa.int64())) for c in names],
+                                                   pa.array(idx, pa.int64())], names=[*names, "idx"])
+
+            for r, (fold, u, c) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("fold", "u", "c")])):
+                p = times * c / max(1, n - c)
+                scale = math.log(1.0 - p) if p < 1.0 else -math.inf
+                at, k, key = -1, 0, f"{fold + seed}|{u}|gap|"
+                while True:
+                    draw = int(md5(f"{key}{k}".encode()).hexdigest()[:8], 16) / 4294967296.0
+                    at += 1 + math.floor(math.log(1.0 - draw) / scale)
+                    if at >= n:
+                        break
+                    row.append(r)
+                    idx.append(at)
+                    k += 1
+                if len(row) > STRIDE:
+                    yield out()
+                    row, idx = [], []
+            yield out()
+
+    return run
+
+
+def bernoulli_draws(users: DataFrame, n: int, times: int) -> DataFrame:
+    """(fold, u, c, idx): each of n items independently with probability ``times c / (n - c)`` per user.
+
+    The gap to the next item that is drawn is geometric, so the k-th keyed number of a user says how many items to
+    pass over: the work follows the draws and not users x items.
+    """
+    kinds = ", ".join(f"{c} {users.schema[c].dataType.simpleString()}" for c in ("fold", "u", "c"))
+    return users.select("fold", "u", "c").mapInArrow(_gaps(n, times, SEED), f"{kinds}, idx bigint")
+
+
 def unused_counts(positives: DataFrame, items: DataFrame) -> DataFrame:
     """All unused items of every user in factored form: fold, u, how many there are and the
     sum of their ids. No user-item pair becomes a row: a user's unused items are all items
@@ -115,15 +162,9 @@ def _first_of_walk(walk: DataFrame, keys: list[str], order: str, want) -> DataFr
     )
 
 
-def rank_chunks(samples: DataFrame, chunk: int = CHUNK, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Used-versus-unused comparisons in factored form.
-
-    One row per (fold, u) and combination of a piece of the used and a piece of
-    the unused items, each list bounded by the piece size: every used item of
-    ``pos`` is compared with every unused one of ``neg``. The comparisons stay
-    factored: unfolding both lists would give one row for each. Users without
-    one of the two kinds drop out. ``extra`` columns travel inside the lists.
-    """
+def rank_dealt(samples: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Samples of users with both kinds, once for each combination (cp, cn) of a piece of the used
+    and a piece of the unused items that they take part in."""
     keys = ["fold", "u"]
     sizes = (
         samples.groupBy(*keys).agg(F.count_if(F.col("x") == 1).alias("np"),
@@ -138,11 +179,22 @@ def rank_chunks(samples: DataFrame, chunk: int = CHUNK, extra: tuple[str, ...] =
     others = F.sequence(F.lit(0), F.when(used, F.col("kn")).otherwise(F.col("kp")) - 1)
     dealt = samples.join(sizes, keys).withColumn("own", own).withColumn(
         "other", F.explode(others))
-    item = F.struct("d", *extra)
+    return dealt.withColumn("cp", F.when(used, F.col("own")).otherwise(F.col("other"))).withColumn(
+        "cn", F.when(used, F.col("other")).otherwise(F.col("own")))
+
+
+def rank_chunks(samples: DataFrame, chunk: int = CHUNK, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Used-versus-unused comparisons in factored form.
+
+    One row per (fold, u) and combination of a piece of the used and a piece of
+    the unused items, each list bounded by the piece size: every used item of
+    ``pos`` is compared with every unused one of ``neg``. The comparisons stay
+    factored: unfolding both lists would give one row for each. Users without
+    one of the two kinds drop out. ``extra`` columns travel inside the lists.
+    """
+    used, item = F.col("x") == 1, F.struct("d", *extra)
     return (
-        dealt.withColumn("cp", F.when(used, F.col("own")).otherwise(F.col("other")))
-        .withColumn("cn", F.when(used, F.col("other")).otherwise(F.col("own")))
-        .groupBy(*keys, "cp", "cn")
+        rank_dealt(samples, chunk).groupBy("fold", "u", "cp", "cn")
         .agg(F.collect_list(F.when(used, item)).alias("pos"),
              F.collect_list(F.when(~used, item)).alias("neg"))
         .where((F.size("pos") > 0) & (F.size("neg") > 0))

@@ -264,7 +264,24 @@ SELECT fold, u, d, 0::BIGINT FROM (SELECT *, {rank} AS r FROM (
 
 cte("samples", _negatives("c + c + prime - n", "j", 1), "inter", "prime")
 cte("samples_x2", _negatives("2 * c + c + prime - n", "j", 2), "inter", "prime")
-cte("samples_b", _negatives("ceil(c * prime / greatest(1, n - c)::DOUBLE)", "d", 1), "inter", "prime")
+
+
+def _bernoulli(inter: str) -> str:
+    """Each unused item with probability c / (unused items): every gap between two draws is looked up, far beyond the last
+    one, and added up."""
+    u = uniform(f"fold + {SEED}", "u", "'gap'", "k")
+    return f"""
+SELECT fold, u, d, 1::BIGINT AS x FROM {inter} UNION ALL
+SELECT fold, u, d, 0::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY fold, u ORDER BY d) AS r FROM (
+  SELECT fold, u, c, n, (sum(CASE WHEN p >= 1 THEN 0 ELSE floor(ln(1.0::DOUBLE - {u}) / ln(1.0::DOUBLE - p)) END + 1)
+    OVER (PARTITION BY fold, u ORDER BY k) - 1)::BIGINT AS d FROM (
+    SELECT *, unnest(range(least(n, ceil(n * p + 12 * sqrt(n * p) + 40)::BIGINT))) AS k FROM (
+      SELECT *, c::DOUBLE / greatest(1, n - c)::DOUBLE AS p FROM (
+        SELECT fold, u, count(*) AS c, any_value(n) AS n FROM {inter}, prime GROUP BY fold, u)))) q
+  WHERE d < n AND NOT EXISTS (SELECT 1 FROM {inter} i WHERE i.fold = q.fold AND i.u = q.u AND i.d = q.d)) WHERE r <= c"""
+
+
+cte("samples_b", _bernoulli("inter"), "inter", "prime")
 cte("samples_all", _negatives("prime", None, -1), "inter", "prime")
 cte("popular", """SELECT *, row_number() OVER (PARTITION BY fold ORDER BY cnt DESC, d) AS rank
 FROM (SELECT fold, d, count(*) AS cnt FROM inter GROUP BY ALL)""", "inter")
@@ -344,10 +361,10 @@ round(recall, 6) AS recall, round({F1}, 6) AS f1 FROM {source}""", source)
 # ---- factors ----------------------------------------------------------------
 
 
-def _init(key: str, source: str) -> str:
+def _init(key: str, source: str, rank: int = RANK) -> str:
     v = uniform(f"fold + {SEED}", f"'{key}'", key, "i")
     return f"""SELECT fold, {key}, i, v / sqrt(sum(v * v) OVER (PARTITION BY fold, {key})) AS v FROM (
-  SELECT fold, {key}, i, {v} AS v FROM (SELECT DISTINCT fold, {key} FROM {source}), range({RANK}) r(i))"""
+  SELECT fold, {key}, i, {v} AS v FROM (SELECT DISTINCT fold, {key} FROM {source}), range({rank}) r(i))"""
 
 
 cte("p", _init("u", "inter"), "inter")
@@ -609,7 +626,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY fold, x, u) AS c FROM {samples})"""
 
 cte("pos10", "SELECT fold, u, d, 1::BIGINT AS x FROM inter10", "inter10")
 cte("samples10", _negatives("c + c + prime - n", "j", 1, "inter10"), "inter10", "prime")
-cte("samples10b", _negatives("ceil(c * prime / greatest(1, n - c)::DOUBLE)", "d", 1, "inter10"), "inter10", "prime")
+cte("samples10b", _bernoulli("inter10"), "inter10", "prime")
 for _from in ("pos10", "samples10", "samples10b", "samples"):
     cte(f"parts_{_from}", _label_split(_from), _from)
 cte("parts_both", """SELECT * FROM parts_samples10 p WHERE (SELECT count(DISTINCT x) FROM parts_samples10 o
@@ -628,13 +645,138 @@ def _facts(parts: str) -> str:
 
 for _name, _parts_of in (("train_logistic_mf", "parts_pos10"), ("train_logistic_mf_neg", "parts_samples10b"),
                          ("train_weighted_mf", "parts_samples10"), ("train_graph_mf", "parts_samples10"),
-                         ("train_bpr", "parts_both"), ("als_metrics", "parts_samples")):
+                         ("train_bpr", "parts_both"), ("als_facts", "parts_samples10")):
     ORACLES[_name] = _facts(_parts_of)
-oracle("als_mse", """SELECT fold, part, count(*) AS rows, true AS fits FROM parts_samples p
-WHERE u IN (SELECT u FROM parts_samples WHERE part = 'train') AND d IN (SELECT d FROM parts_samples WHERE part = 'train')
-GROUP BY fold, part""", "parts_samples")
-oracle("als_topn", """SELECT u, least(10, (SELECT count(DISTINCT d) FROM parts_samples WHERE part = 'train')
-  - count(*) FILTER (x = 1)) AS listed, 0::BIGINT AS used FROM parts_samples WHERE part = 'train' GROUP BY u""",
-       "parts_samples")
-oracle("train_als", """SELECT u, count(*) AS rows, true AS solved FROM parts_samples WHERE part = 'train'
-GROUP BY u""", "parts_samples")
+oracle("als_fits", """SELECT fold, part, count(*) AS rows, true AS fits FROM parts_samples10 p
+WHERE (fold, u) IN (SELECT (fold, u) FROM parts_samples10 WHERE part = 'train')
+  AND (fold, d) IN (SELECT (fold, d) FROM parts_samples10 WHERE part = 'train') GROUP BY fold, part""", "parts_samples10")
+oracle("als_topn", """SELECT fold, u, least(10, items - used_items) AS listed, 0::BIGINT AS used FROM (
+  SELECT fold, u, count(*) FILTER (x = 1) AS used_items FROM parts_samples10 WHERE part = 'train' GROUP BY fold, u) JOIN (
+  SELECT fold, count(DISTINCT d) AS items FROM parts_samples10 WHERE part = 'train' GROUP BY fold) USING (fold)""",
+       "parts_samples10")
+oracle("train_als", """SELECT fold, u, count(*) AS rows, true AS solved FROM parts_samples10 WHERE part = 'train'
+GROUP BY fold, u""", "parts_samples10")
+
+
+# ---- trained models, a few steps unrolled ---------------------------------------
+
+STEPS, LG = 2, 0.01
+WIDTHS = "(SELECT e, CASE WHEN e < 0 THEN 0.0 ELSE pow(0.5::DOUBLE, e) END::DOUBLE AS width FROM range(-1, 20) r(e))"
+
+
+def _lists(table: str, key: str) -> str:
+    return f"SELECT fold, {key}, list(v ORDER BY i) AS f FROM {table} GROUP BY fold, {key}"
+
+
+def _ranked(name: str, parts: str, train: str, p: str, q: str) -> str:
+    """The ten best unused items of each user with new ones, and their precision and recall, from lists of factors."""
+    cte(f"truth_{name}", f"""SELECT DISTINCT fold, u, d FROM {parts} v WHERE part = 'valid' AND x = 1
+AND (fold, u) IN (SELECT (fold, u) FROM {parts} WHERE part = 'train' AND x = 1)
+AND (fold, u, d) NOT IN (SELECT (fold, u, d) FROM {parts} WHERE part = 'train' AND x = 1)""", parts)
+    cte(f"best_{name}", f"""SELECT fold, u, d, row_number() OVER (PARTITION BY fold, u ORDER BY score DESC, d) AS rank FROM (
+SELECT p.fold, p.u, q.d, list_dot_product(p.f, q.f) AS score FROM {p} p JOIN {q} q ON q.fold = p.fold
+WHERE (p.fold, p.u) IN (SELECT (fold, u) FROM truth_{name}))
+WHERE (fold, u, d) NOT IN (SELECT (fold, u, d) FROM {train} WHERE x = 1) QUALIFY rank <= 10""",
+        p, q, f"truth_{name}", train)
+    cte(f"pr_{name}", _metrics(name, f"best_{name}"), f"best_{name}", f"truth_{name}")
+    return f"pr_{name}"
+
+
+def _model(name: str, parts: str, weigh: bool = False, graph: bool = False, pairwise: bool = False) -> str:
+    """CTEs of a model after ``STEPS`` steps of gradient descent with line search; its ten best unused items
+    of each user with new ones; the name of its precision and recall."""
+    def at(base: str, step: int = 0) -> str:
+        return f"{base}_{name}{step}"
+
+    w = "CASE WHEN x = 1 THEN 1.0 ELSE coalesce(w10.w, 0.0) END::DOUBLE" if weigh else "1.0::DOUBLE"
+    more = "LEFT JOIN weights10 w10 ON w10.fold = t.fold AND w10.d = t.d" if weigh else ""
+    train, needs = at("train"), ["weights10"] if weigh else []
+    cte(train, f"SELECT t.fold, t.u, t.d, t.x, {w} AS w FROM {parts} t {more} WHERE part = 'train'", parts, *needs)
+    cte(at("p"), _init("u", train), train)
+    cte(at("q"), _init("d", train), train)
+    for k in range(STEPS):
+        p, q, z, e, gu, gd, norms, moved, losses, width = (
+            at(c, k) for c in ("p", "q", "z", "e", "gu", "gd", "norms", "moved", "losses", "width"))
+        cte(f"l{p}", _lists(p, "u"), p)
+        cte(f"l{q}", _lists(q, "d"), q)
+        cte(z, f"""SELECT s.*, list_dot_product(p.f, q.f) AS z FROM {train} s JOIN l{p} p ON p.fold = s.fold AND p.u = s.u
+JOIN l{q} q ON q.fold = s.fold AND q.d = s.d""", train, f"l{p}", f"l{q}")
+        if pairwise:
+            cte(f"c{e}", f"""SELECT a.fold, a.u, a.d AS i, b.d AS j, 1.0::DOUBLE / (1.0::DOUBLE + exp(b.z - a.z)) - 1.0 AS e
+FROM {z} a JOIN {z} b ON a.fold = b.fold AND a.u = b.u WHERE a.x = 1 AND b.x = 0""", z)
+            cte(e, f"""SELECT fold, u, d, sum(e) AS e, sum(n) AS n, sum(np) AS np FROM (
+SELECT fold, u, i AS d, sum(e) AS e, count(*) AS n, count(*) AS np FROM c{e} GROUP BY ALL UNION ALL
+SELECT fold, u, j, -sum(e), count(*), 0 FROM c{e} GROUP BY ALL) GROUP BY ALL""", f"c{e}")
+        else:
+            cte(e, f"SELECT fold, u, d, w * (1.0::DOUBLE / (1.0::DOUBLE + exp(-z)) - x) AS e, 1 AS n, 1 AS np FROM {z}", z)
+        pull, near = "0.0::DOUBLE", ""
+        if graph:
+            cte(f"m{gu}", f"""SELECT a.fold, src AS u, i, sum((score - list_dot_product(a.f, b.f)) * v) AS m FROM friends
+JOIN l{p} a ON a.u = src JOIN l{p} b ON b.u = dst AND b.fold = a.fold JOIN {p} v ON v.u = dst AND v.fold = a.fold
+GROUP BY ALL""", "friends", p, f"l{p}")
+            pull = f"n * {LG}::DOUBLE * (p.v - coalesce(m, 0.0))"
+            near = f"LEFT JOIN m{gu} m ON m.fold = p.fold AND m.u = p.u AND m.i = p.i"
+        cte(gu, f"""SELECT p.fold, p.u, p.i, p.v, s + n * {LP}::DOUBLE * p.v + {pull} AS g FROM (
+SELECT e.fold, e.u, q.i, sum(e * q.v) AS s, sum(np) AS n FROM {e} e JOIN {q} q ON q.fold = e.fold AND q.d = e.d GROUP BY ALL) g
+JOIN {p} p ON p.fold = g.fold AND p.u = g.u AND p.i = g.i {near}""", e, p, q, *([f"m{gu}"] if graph else []))
+        cte(gd, f"""SELECT q.fold, q.d, q.i, q.v, s + n * {LQ}::DOUBLE * q.v AS g FROM (
+SELECT e.fold, e.d, p.i, sum(e * p.v) AS s, sum(n) AS n FROM {e} e JOIN {p} p ON p.fold = e.fold AND p.u = e.u GROUP BY ALL) g
+JOIN {q} q ON q.fold = g.fold AND q.d = g.d AND q.i = g.i""", e, p, q)
+        cte(norms, f"""SELECT fold, mp, mq FROM (SELECT fold, sqrt(sum(g * g)) AS mp FROM {gu} GROUP BY 1)
+JOIN (SELECT fold, sqrt(sum(g * g)) AS mq FROM {gd} GROUP BY 1) USING (fold)""", gu, gd)
+        for side, key in ((gu, "u"), (gd, "d")):
+            cte(f"l{side}", f"SELECT fold, {key}, list(g ORDER BY i) AS g FROM {side} GROUP BY fold, {key}", side)
+        cte(moved, f"""SELECT z.*, (list_dot_product(p.f, h.g) / mq + list_dot_product(g.g, q.f) / mp) AS z1,
+list_dot_product(g.g, h.g) / mp / mq AS z2 FROM {z} z JOIN {norms} m USING (fold)
+JOIN l{p} p ON p.fold = z.fold AND p.u = z.u JOIN l{q} q ON q.fold = z.fold AND q.d = z.d
+JOIN l{gu} g ON g.fold = z.fold AND g.u = z.u JOIN l{gd} h ON h.fold = z.fold AND h.d = z.d""",
+            z, norms, f"l{p}", f"l{q}", f"l{gu}", f"l{gd}")
+        there = "(z - width * z1 + width * width * z2)"
+        if pairwise:
+            cte(losses, f"""SELECT fold, e, width, avg({softplus("dz - width * d1 + width * width * d2")}) AS loss, count(*) AS n FROM (
+SELECT a.fold, b.z - a.z AS dz, b.z1 - a.z1 AS d1, b.z2 - a.z2 AS d2 FROM {moved} a
+JOIN {moved} b ON a.fold = b.fold AND a.u = b.u WHERE a.x = 1 AND b.x = 0), {WIDTHS} GROUP BY ALL""", moved)
+        else:
+            cte(losses, f"""SELECT fold, e, width, avg(w * ({softplus(there)} - x * {there})) AS loss, count(*) AS n
+FROM {moved}, {WIDTHS} GROUP BY ALL""", moved)
+        cte(width, f"""SELECT l.fold, coalesce(max(l.width) FILTER (l.loss <= o.loss - l.width * 0.5 * (mp + mq) / o.n), 0) AS width
+FROM {losses} l JOIN {losses} o ON o.fold = l.fold AND o.e = -1 JOIN {norms} m ON m.fold = l.fold
+WHERE l.e >= 0 GROUP BY l.fold""", losses, norms)
+        for old, grad, key, norm in ((at("p", k + 1), gu, "u", "mp"), (at("q", k + 1), gd, "d", "mq")):
+            cte(old, f"SELECT fold, {key}, i, v - width * g / {norm} AS v FROM {grad} JOIN {norms} USING (fold) JOIN {width} USING (fold)",
+                grad, norms, width)
+    p, q = at("p", STEPS), at("q", STEPS)
+    cte(f"l{p}", _lists(p, "u"), p)
+    cte(f"l{q}", _lists(q, "d"), q)
+    return _ranked(name, parts, train, f"l{p}", f"l{q}")
+
+
+cte("weights10", """SELECT fold, d, pow(n, 0.5::DOUBLE) / pow(sum(n) OVER (PARTITION BY fold), 0.5::DOUBLE) AS w
+FROM (SELECT fold, d, count(DISTINCT u) AS n FROM inter10 GROUP BY ALL)""", "inter10")
+for _name, _parts_of, _kind in (
+        ("logistic_mf", "parts_pos10", {}), ("logistic_mf_neg", "parts_samples10b", {}),
+        ("weighted_mf", "parts_samples10", {"weigh": True}), ("graph_mf", "parts_samples10", {"weigh": True, "graph": True}),
+        ("bpr", "parts_both", {"pairwise": True})):
+    _scores = _model(_name, _parts_of, **_kind)
+    oracle(f"metrics_{_name}", f"""SELECT k::BIGINT AS k, round(precision, 6) AS precision, round(recall, 6) AS recall,
+round({F1}, 6) AS f1 FROM (SELECT k, avg(precision) AS precision, avg(recall) AS recall FROM {_scores} GROUP BY k)""", _scores)
+
+
+# ---- alternating least squares of rank 2, three iterations ------------------------
+
+cte("als_train", "SELECT * FROM parts_samples10 WHERE part = 'train'", "parts_samples10")
+cte("als_u0", _lists(f"({_init('u', 'als_train', 2)})", "u"), "als_train")
+for _k in range(3):
+    for _key, _other, _from, _to in (("d", "u", f"als_u{_k}", f"als_d{_k + 1}"), ("u", "d", f"als_d{_k + 1}", f"als_u{_k + 1}")):
+        cte(_to, f"""SELECT fold, {_key}, [(c * r - b * s) / (a * c - b * b), (a * s - b * r) / (a * c - b * b)] AS f FROM (
+SELECT t.fold, t.{_key}, sum(f[1] * f[1]) + 0.01::DOUBLE * count(*) AS a, sum(f[1] * f[2]) AS b,
+  sum(f[2] * f[2]) + 0.01::DOUBLE * count(*) AS c, sum(x * f[1]) AS r, sum(x * f[2]) AS s
+FROM als_train t JOIN {_from} o ON o.fold = t.fold AND o.{_other} = t.{_other} GROUP BY t.fold, t.{_key})""", "als_train", _from)
+_scores = _ranked("als", "parts_samples10", "als_train", "als_u3", "als_d3")
+oracle("als_short_metrics", f"""SELECT k::BIGINT AS k, round(precision, 6) AS precision, round(recall, 6) AS recall,
+round({F1}, 6) AS f1 FROM (SELECT k, avg(precision) AS precision, avg(recall) AS recall FROM {_scores} GROUP BY k)""", _scores)
+oracle("als_short_topn", "SELECT fold, u, d, rank FROM best_als", "best_als")
+oracle("als_short_mse", """SELECT part, round(avg(mse), 6) AS mse, sum(rows)::BIGINT AS rows FROM (
+SELECT s.fold, part, avg((x - list_dot_product(p.f, q.f)) ** 2) AS mse, count(*) AS rows FROM parts_samples10 s
+JOIN als_u3 p ON p.fold = s.fold AND p.u = s.u JOIN als_d3 q ON q.fold = s.fold AND q.d = s.d GROUP BY s.fold, part)
+GROUP BY part""", "parts_samples10", "als_u3", "als_d3")

@@ -70,12 +70,16 @@ def labelled_samples(interactions: DataFrame, times: int, mode: str = "exact") -
     return cut(splits.stratified_split(samples, by_label=True))
 
 
-def _metrics(train: DataFrame, valid: DataFrame, model: factor.FactorModel, n: int) -> DataFrame:
+def _lists(train: DataFrame, valid: DataFrame, model: factor.FactorModel, n: int) -> tuple[DataFrame, DataFrame]:
+    """The new items of users, and the lists for these users."""
     known = train.where(F.col("x") == 1)
     truth = cut(splits.changed_users(known, valid.where(F.col("x") == 1)))
     asked = model.users.join(truth, ["fold", "u"], "left_semi")
-    listed = evaluate.topn_by_factor(asked, model.items, known.select("fold", "u", "d"), n)
-    return evaluate.precision_recall_at_k(truth, listed, n)
+    return truth, evaluate.topn_by_factor(asked, model.items, known.select("fold", "u", "d"), n)
+
+
+def _metrics(train: DataFrame, valid: DataFrame, model: factor.FactorModel, n: int) -> DataFrame:
+    return evaluate.precision_recall_at_k(*_lists(train, valid, model, n), n)
 
 
 def _parts(split: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,10 +100,11 @@ class Trained:
 
 @dataclass
 class AlsTrained:
-    """Squared errors by part, ranking metrics, factors and the split behind them."""
+    """Squared errors by part, ranking metrics, lists, factors and the split behind them."""
 
     errors: DataFrame
     metrics: DataFrame
+    lists: DataFrame
     users: DataFrame
     items: DataFrame
     split: DataFrame
@@ -144,20 +149,23 @@ def ranking_model(interactions: DataFrame, options: factor.FitOptions, times: in
 
 def als_model(interactions: DataFrame, times: int = 1, rank: int = 20, reg: float = 0.01,
               max_iter: int = 30, n: int = 10) -> AlsTrained:
-    """ALS per fold."""
+    """ALS, all folds in the same jobs; a catalogue too large for that goes through Spark ML, fold by fold."""
     split = labelled_samples(interactions, times)
-    folds = [r.fold for r in split.select("fold").distinct().orderBy("fold").collect()]
-    errors, users, items = [], [], []
-    for fold in folds:
-        rows = split.where(F.col("fold") == fold)
-        model = als.train_als(_parts(rows)[0], rank, reg, max_iter, seed=splits.SEED + fold)
-        errors.append(als.als_mse(model, rows).withColumn("fold", F.lit(fold)))
+    train, valid = _parts(split)
+    model = als.fit_als(train.drop("part"), rank, reg, max_iter) or _als_by_fold(train, rank, reg, max_iter)
+    truth, lists = _lists(train, valid, model, n)
+    return AlsTrained(als.squared_errors(split, model, rank), evaluate.precision_recall_at_k(truth, lists, n), lists,
+                      model.users, model.items, split)
+
+
+def _als_by_fold(train: DataFrame, rank: int, reg: float, max_iter: int) -> factor.FactorModel:
+    users, items = [], []
+    for fold in [r.fold for r in train.select("fold").distinct().orderBy("fold").collect()]:
+        model = als.train_als(train.where(F.col("fold") == fold), rank, reg, max_iter, seed=splits.SEED + fold)
         p, q = als.als_factors(model, fold)
         users.append(p)
         items.append(q)
-    trained = factor.FactorModel(factor.union_all(users), factor.union_all(items))
-    return AlsTrained(factor.union_all(errors), _metrics(*_parts(split), trained, n), trained.users,
-                      trained.items, split)
+    return factor.FactorModel(factor.union_all(users), factor.union_all(items))
 
 
 def popular_model(interactions: DataFrame, alpha: float = 0.8, n: int = 10) -> DataFrame:

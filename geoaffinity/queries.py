@@ -879,39 +879,113 @@ def train_graph_mf(spark, sf):
                                                    edges=_friends(spark, sf)))
 
 
+# Two steps of each model, which SQL unrolls: precision, recall and F1 at 1..10, means over ten repeats.
+SHORT = factor.FitOptions(rank=RANK, max_iter=2)
+
+
+def _means(trained):
+    return shape(evaluate.cv_metrics(trained.metrics), k="bigint", precision=6, recall=6, f1=6)
+
+
+@query
+def metrics_logistic_mf(spark, sf):
+    return _means(programs.logistic_model(fx.interactions(spark, sf, FOLDS), SHORT))
+
+
+@query
+def metrics_logistic_mf_neg(spark, sf):
+    return _means(programs.logistic_model(fx.interactions(spark, sf, FOLDS), SHORT, times=1, mode="bernoulli"))
+
+
+@query
+def metrics_weighted_mf(spark, sf):
+    return _means(programs.weighted_model(fx.interactions(spark, sf, FOLDS), SHORT))
+
+
+@query
+def metrics_bpr(spark, sf):
+    return _means(programs.ranking_model(fx.interactions(spark, sf, FOLDS), SHORT))
+
+
+@query
+def metrics_graph_mf(spark, sf):
+    return _means(programs.weighted_model(fx.interactions(spark, sf, FOLDS), SHORT, edges=_friends(spark, sf)))
+
+
 @query
 def als_metrics(spark, sf):
-    """ALS lists against the held-out rows, as facts."""
-    fitted = programs.als_model(fx.interactions(spark, sf))
-    return _facts(spark, fitted.split, fitted.users, fitted.items, fitted.metrics, {})
+    """ALS lists against the held-out rows, means over ten repeats."""
+    return _means(programs.als_model(fx.interactions(spark, sf, FOLDS)))
+
+
+def _errors(fitted):
+    means = fitted.errors.groupBy("part").agg(F.avg("mse").alias("mse"), F.sum("rows").alias("rows"))
+    return shape(means, part="string", mse=6, rows="bigint")
 
 
 @query
 def als_mse(spark, sf):
-    """Squared errors by part: rows that have a prediction, and whether the training error beats a
-    constant guess."""
-    errors = programs.als_model(fx.interactions(spark, sf)).errors
+    """Squared errors by part, means over ten repeats."""
+    return _errors(programs.als_model(fx.interactions(spark, sf, FOLDS)))
+
+
+@query
+def als_facts(spark, sf):
+    fitted = programs.als_model(fx.interactions(spark, sf, FOLDS))
+    return _facts(spark, fitted.split, fitted.users, fitted.items, fitted.metrics, {})
+
+
+@query
+def als_fits(spark, sf):
+    """Rows of each part that have a prediction, and whether the training error beats a constant guess."""
+    errors = programs.als_model(fx.interactions(spark, sf, FOLDS)).errors
     fits = (F.col("part") != "train") | (F.col("mse") < 0.25)
     return shape(errors.withColumn("fits", fits), fold="bigint", part="string", rows="bigint", fits="boolean")
 
 
+def _als(spark, sf):
+    train = cut(programs.labelled_samples(fx.interactions(spark, sf, FOLDS), 1).where(F.col("part") == "train").drop("part"))
+    return train, als.fit_als(train)
+
+
 @query
 def als_topn(spark, sf):
     """Lists of the ten best unused items by ALS: their lengths, and used items in them (none)."""
-    train = cut(programs.labelled_samples(fx.interactions(spark, sf), 1).where(F.col("part") == "train"))
+    train, model = _als(spark, sf)
     used = train.where(F.col("x") == 1).select("fold", "u", "d")
-    best = cut(als.als_topn(als.train_als(train), train, used))
+    best = cut(evaluate.topn_by_factor(model.users, model.items, used))
     hits = best.join(used.withColumn("hit", F.lit(1)), ["fold", "u", "d"], "left")
-    return shape(hits.groupBy("u").agg(F.count(F.lit(1)).alias("listed"), F.count("hit").alias("used")),
-                 u="bigint", listed="bigint", used="bigint")
+    return shape(hits.groupBy("fold", "u").agg(F.count(F.lit(1)).alias("listed"), F.count("hit").alias("used")),
+                 fold="bigint", u="bigint", listed="bigint", used="bigint")
 
 
 @query
 def train_als(spark, sf):
     """User factors solve their normal equations: a row per user with its samples and whether the
-    residual is small. Spark's regularisation counts each user's samples."""
-    train = cut(programs.labelled_samples(fx.interactions(spark, sf), 1).where(F.col("part") == "train"))
-    users, items = als.als_factors(als.train_als(train))
-    rest = als.normal_residual(train, users, items, 0.01)
-    return shape(rest.withColumn("solved", F.col("residual") < 0.01 * F.col("rows")), u="bigint", rows="bigint",
-                 solved="boolean")
+    residual is small. The regularisation counts each user's samples."""
+    train, model = _als(spark, sf)
+    rest = als.normal_residual(train, model.users, model.items, 0.01)
+    return shape(rest.withColumn("solved", F.col("residual") < 1e-6 * F.col("rows")), fold="bigint", u="bigint",
+                 rows="bigint", solved="boolean")
+
+
+# Three iterations at rank 2, which SQL unrolls.
+def _als_short(spark, sf):
+    return programs.als_model(fx.interactions(spark, sf, FOLDS), rank=2, max_iter=3)
+
+
+@query
+def als_short_metrics(spark, sf):
+    return _means(_als_short(spark, sf))
+
+
+@query
+def als_short_mse(spark, sf):
+    return _errors(_als_short(spark, sf))
+
+
+@query
+def als_short_topn(spark, sf):
+    """The lists themselves, of users with new items."""
+    fitted = _als_short(spark, sf)
+    return shape(fitted.lists, fold="bigint", u="bigint", d="bigint", rank="bigint")
