@@ -12,7 +12,6 @@ bounded number of pairs, with a pass over the packed ids for each shard.
 import functools
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,8 +24,8 @@ from .text import row_blocks, text_bytes
 
 SHARD = 1 << 22  # id pairs broadcast at a time
 TEXT = 1 << 20  # bytes of text tokenised at a time, or one longer text
-WINDOWS = 150_000  # windows remembered
-IDS = 1 << 21  # ids in remembered windows
+WINDOWS = 300_000  # windows remembered
+IDS = 1 << 22  # ids in remembered windows
 BLANK = 50_000  # white space of this length is beyond the pattern engine of the faster library
 LONG_BLANK = re.compile(rf"\s{{{BLANK}}}")
 
@@ -101,9 +100,8 @@ class Side:
     """What aligning needs to know of a vocabulary."""
 
     def __init__(self, entries: list[bytes]):
-        self.kind = np.dtype(np.uint16 if len(entries) <= 1 << 16 else np.uint32)
-        self.sizes = [len(e) for e in entries]
-        self.size = np.array(self.sizes, np.int64)
+        self.kind = np.dtype(np.uint16 if len(entries) < 1 << 16 else np.uint32)
+        self.size = np.array([len(e) for e in entries], np.int64)
         self.spaced = np.array([e.startswith(b" ") for e in entries])
 
     def cuts(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,56 +127,94 @@ def windows(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, left:
     return ends, token_b[there[same]], np.searchsorted(ends, at, "right")
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[bytes, list[int]]:
-    """Groups between shared ends as text, and a link (a << 32 | b) for every two tokens that overlap."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        elif end_b < end_a:
-            j += 1
-            end_b += size_b[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            if i == len(a):
-                return ";".join(groups).encode(), links
-            first_a, first_b = i, j
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs with these beginnings and sizes, end to end."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+def align(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Alignment of token sequences of the same bytes: the byte at which each link ends and the tokens it links (places
+    in a and b); the bytes at which groups end, where tokens of both do.
+
+    A stretch between two neighbouring ends, of whichever side, is covered by one token of each, and a pair of tokens that
+    overlap covers one such stretch.
+    """
+    end_a, end_b = np.cumsum(left.size[a]), np.cumsum(right.size[b])
+    both = np.concatenate([end_a, end_b])
+    both.sort(kind="stable")  # two sorted runs
+    again = np.zeros(len(both), bool)
+    again[1:] = both[1:] == both[:-1]
+    ends, groups = both[~again], both[again]
+    return ends, np.searchsorted(end_a, ends), np.searchsorted(end_b, ends), groups
 
 
 class Memo(dict):
-    """Numbers of windows by their id tuples (packed); a new one is aligned."""
+    """Numbers of windows by their packed id tuples; new ones are aligned, many at a time."""
 
     def __init__(self, left: Side, right: Side, most: int, texts: bool):
         self.left, self.right, self.most, self.keep = left, right, most, texts
+        self.kind = max(left.kind, right.kind)
+        if texts:
+            numbers = [str(i).encode() for i in range(max(len(left.size), len(right.size)))]
+            width = len(numbers[-1]) + 1
+            self.digits = np.frombuffer(b"".join(n.ljust(width) for n in numbers), np.uint8).reshape(-1, width)
+            self.length = np.array([len(n) for n in numbers])
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.texts: list[bytes] = []
-        self.links, self.sizes, self.held = array("q"), array("q"), 0
-
-    def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = np.frombuffer(key[0], self.left.kind).tolist(), np.frombuffer(key[1], self.right.kind).tolist()
-        text, links = align(a, b, self.left.sizes, self.right.sizes)
-        if self.keep:
-            self.texts.append(text)
-        self.links.extend(links)
-        self.sizes.append(len(links))
+        self.links, self.sizes, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def codes(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+        """The number of each window, by the ends of windows in both sequences."""
+        size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        number = np.arange(len(ends_a))
+        packed = np.full(len(a) + len(b) + len(ends_a), np.iinfo(self.kind).max, self.kind)  # no id between the sides
+        packed[np.arange(len(a)) + np.repeat(ends_b - size_b + number, size_a)] = a
+        packed[np.arange(len(b)) + np.repeat(ends_a + number + 1, size_b)] = b
+        raw, stops = packed.tobytes(), ((ends_a + ends_b + number + 1) * self.kind.itemsize).tolist()
+        keys = [raw[i:j] for i, j in zip([0, *stops[:-1]], stops)]
+        found = np.array([self.get(k, -1) for k in keys], np.int64)
+        fresh = []
+        for k in np.flatnonzero(found < 0).tolist():
+            known = len(self)
+            found[k] = self.setdefault(keys[k], known)
+            if found[k] == known:
+                fresh.append(k)
+        if fresh:
+            self._learn(a, b, ends_a, ends_b, size_a, size_b, np.array(fresh))
+        return found
+
+    def _learn(self, a, b, ends_a, ends_b, size_a, size_b, new: np.ndarray) -> None:
+        a = a[_ranges((ends_a - size_a)[new], size_a[new])]
+        b = b[_ranges((ends_b - size_b)[new], size_b[new])]
+        ends, in_a, in_b, groups = align(a, b, self.left, self.right)
+        stops = np.cumsum(self.left.size[a])[np.cumsum(size_a[new]) - 1]  # bytes at which windows end
+        self.links = np.concatenate([self.links, a[in_a].astype(np.int64) << 32 | b[in_b].astype(np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.diff(np.searchsorted(ends, stops, "right"), prepend=0)])
         self.held += len(a) + len(b)
-        self[key] = code = len(self)
-        return code
-
-    def codes(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[int]:
-        whole_a, whole_b = a.tobytes(), b.tobytes()
-        x, y = (ends_a * self.left.kind.itemsize).tolist(), (ends_b * self.right.kind.itemsize).tolist()
-        return [self[whole_a[i:j], whole_b[k:m]] for i, j, k, m in zip([0, *x[:-1]], x, [0, *y[:-1]], y)]
+        if self.keep:
+            self._write(a, b, groups, stops)
+
+    def _write(self, a: np.ndarray, b: np.ndarray, groups: np.ndarray, stops: np.ndarray) -> None:
+        """Texts of the windows: ids of a, |, ids of b, and ; between groups."""
+        end_a, end_b = np.cumsum(self.left.size[a]), np.cumsum(self.right.size[b])
+        last_a, last_b = np.searchsorted(end_a, groups), np.searchsorted(end_b, groups)  # of each group
+        group_a, group_b = np.searchsorted(groups, end_a), np.searchsorted(groups, end_b)
+        before_b = np.append(0, last_b[:-1] + 1)
+        place_a, place_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + last_a[group_b] + 1
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
+        final = place_b[np.searchsorted(end_b, stops)]  # nothing stands behind a window
+        size = self.length[ids]
+        shown = self.digits[ids]
+        shown[np.arange(len(ids)), size] = mark
+        size[final] -= 1
+        raw = shown[np.arange(shown.shape[1]) <= size[:, None]].tobytes()
+        at = np.cumsum(size + 1)[final].tolist()
+        self.texts += [raw[i:j] for i, j in zip([0, *at[:-1]], at)]
 
     @property
     def full(self) -> bool:
@@ -202,10 +238,9 @@ def _tokenised(a_file: str, b_file: str, remembered: int):
         memo, times, id_type = Memo(left, right, remembered, texts=True), np.zeros(0, np.int64), pa.null()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sizes = np.array(memo.sizes, np.int64)
-            pair, where = np.unique(np.array(memo.links, np.int64), return_inverse=True)
+            pair, where = np.unique(memo.links, return_inverse=True)
             n = np.zeros(len(pair), np.int64)
-            np.add.at(n, where, np.repeat(times, sizes))
+            np.add.at(n, where, np.repeat(times, memo.sizes))
             size = len(pair)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(size, id_type), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()),
@@ -224,7 +259,7 @@ def _tokenised(a_file: str, b_file: str, remembered: int):
                         text = given.decode()
                         x, y = one.encode(" " + text), two.encode(text)
                         given = b" " + given
-                        if b"".join([one.bytes[i] for i in x]) != given or b"".join([two.bytes[i] for i in y]) != given:
+                        if b"".join(map(one.bytes.__getitem__, x)) != given or b"".join(map(two.bytes.__getitem__, y)) != given:
                             x, y = [], []
                     ids_a.append(x)
                     ids_b.append(y)
@@ -233,10 +268,10 @@ def _tokenised(a_file: str, b_file: str, remembered: int):
                 b = np.fromiter(chain.from_iterable(ids_b), right.kind, bt[-1])
                 ends_a, ends_b, first = windows(a, at, b, bt, left, right)
                 codes = memo.codes(a, b, ends_a, ends_b)
-                grown = np.bincount(np.array(codes, np.int64), minlength=len(memo))
+                grown = np.bincount(codes, minlength=len(memo))
                 grown[: len(times)] += times
                 times = grown
-                texts, groups, digests = memo.texts, [], []
+                texts, groups, digests, codes = memo.texts, [], [], codes.tolist()
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
                     text = b";".join([texts[c] for c in codes[i:j]])
                     groups.append(text.count(b"|"))
@@ -269,11 +304,11 @@ def _priced(a_file: str, b_file: str, remembered: int, shard, out: list[str]):
                 b = np.frombuffer(raw_b[bt[low]: bt[high]].tobytes(), right.kind)
                 ends_a, ends_b, first = windows(a, (at[low: high + 1] - at[low]) // left.kind.itemsize,
                                                 b, (bt[low: high + 1] - bt[low]) // right.kind.itemsize, left, right)
-                codes = np.array(memo.codes(a, b, ends_a, ends_b), np.int64)
+                codes = memo.codes(a, b, ends_a, ends_b)
                 known = sums.shape[1]
                 if len(memo) > known:  # price the new windows
-                    sizes = np.array(memo.sizes[known:], np.int64)
-                    links = np.array(memo.links[-int(sizes.sum()):], np.int64)
+                    sizes = memo.sizes[known:]
+                    links = memo.links[len(memo.links) - int(sizes.sum()):]
                     where = np.minimum(np.searchsorted(pair, links), max(0, len(pair) - 1))
                     hit = pair[where] == links
                     start = np.cumsum(sizes) - sizes
