@@ -12,9 +12,11 @@ both sets. So
 Subsets grow with the square of a light set's size but are seldom shared by chance; lists are short to name and long to
 scan. The boundary is where the sum of both, from the sizes of all sets and the lists of a sample of shingles, is least.
 
-A list is not expanded into its pairs. Its members meet one of them first, then another one, as long as the list
-is in several components; only what is still apart is compared piece against piece. Each candidate is compared by both whole sets,
-streamed past the set of the member that they all meet. The result needs no more links than join what links join.
+A list is not expanded into its pairs. One member is the centre of its list, then another one, as long as the list
+is in several components, and each set meets the centre that it shares most lists with; only what is still apart is
+compared piece against piece. Small counts per set (``sketch``) bound how much two sets can share; candidates that
+this leaves are compared by both whole sets, streamed past the set that they all meet. The result needs no more links
+than join what links join.
 """
 
 from collections.abc import Iterator
@@ -36,10 +38,13 @@ SUBSET = 2
 FREQUENT = 50_000  # shingles, the most frequent ones, that stand last in the order of all
 BLOCK = 4 << 20  # bytes of text whose shingles are counted together
 SAMPLE = 64  # one in so many shingles has its list measured
-ROUNDS = 3  # of members that a whole list meets
+ROUNDS = 1  # of centres
+SMALL = 64  # members of a list that is compared together with others
+SLAB = 1 << 16  # pairs compared at a time
 PIECE = 4096  # members of a list that meet as many others in a task
 MEET = 20_000  # sets that meet one in a task
 FILTER = 1 << 27  # bits of the filter of wanted texts
+BUCKETS = 64  # of a sketch
 
 _FACTOR = np.random.default_rng(SHINGLE).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -90,8 +95,22 @@ def ordered(hashes: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.concatenate([hashes[~late], end[np.argsort(rank[at[late]])]])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of ``BUCKETS``. The sum of the lesser counts of two sketches is at least the number of
+    hashes that both sets hold."""
+    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+
+
+def _bounds(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.minimum(left, right).sum(axis=1, dtype=np.int64)
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return text_bytes(column)[0].view("<u4").reshape(-1, BUCKETS)
+
+
 def _rows(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, key (a hash of id and text), node (a 128-bit hash of the set), n, prefix; row numbers."""
+    """doc_id, key (a hash of id and text), node (a 128-bit hash of the set), n, prefix, sketch; row numbers."""
     order = frequent(docs)
     at = np.argsort(order)
     sent = docs.sparkSession.sparkContext.broadcast((order[at], at))
@@ -99,20 +118,21 @@ def _rows(docs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = sent.value
         for batch in batches:
-            nodes, sizes, parts = [], [], []
+            nodes, sizes, parts, sketches = [], [], [], []
             for found in _sets(batch.column("text")):
                 n = len(found)
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
                 sizes.append(n)
+                sketches.append(sketch(found) if n else None)
                 parts.append(ordered(found, last, rank)[: n - -(-percent * n // 100) + SUBSET].view(np.int64))
             borders = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                 prefix], names=["doc_id", "key", "node", "n", "prefix"])
+                 prefix, pa.array(sketches, pa.binary())], names=["doc_id", "key", "node", "n", "prefix", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"doc_id {kind}, key long, node binary, n long, prefix array<long>")
+    out = docs.mapInArrow(run, f"doc_id {kind}, key long, node binary, n long, prefix array<long>, sketch binary")
     return cut(out.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -207,6 +227,25 @@ def _compared(percent: int):
     return run
 
 
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = _bounds(_counts(batch.column("sa")), _counts(batch.column("sb")))
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(bound * (100 + percent) >= n * percent))
+
+    return run
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sketches allow a link."""
+    def side(k: str) -> DataFrame:
+        return nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(_possible(percent), "a long, b long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets link. A set that more than ``MEET`` others meet is in several tasks."""
     met = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEET)).cast("int").alias("pieces")))
@@ -226,22 +265,40 @@ def _apart(percent: int):
     keys = ["list", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, keys, least=1):
-            columns = [table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "n", "pos", "guest")]
-            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
-                node, root, n, pos, guest = (c[low:high] for c in columns)
-                names, number, many = np.unique(root, return_inverse=True, return_counts=True)
-                rest = np.flatnonzero(number != many.argmax())  # one of each pair is outside the largest component
-                for k in range(0, len(rest), 256):
-                    r = rest[k: k + 256, None]
-                    least, most = np.minimum(n[r], n), np.maximum(n[r], n)
-                    shared = np.minimum(pos[r], pos) + 1 + np.minimum(n[r] - pos[r], n - pos) - 1
-                    keep = ((root[r] != root) & ~(guest[r] & guest) & (least * 100 >= most * percent)
-                            & (shared * (100 + percent) >= (n[r] + n) * percent))
-                    x, y = np.nonzero(keep)
-                    x = r[x, 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])),
-                                                      pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+        for table, starts in whole_groups(batches, keys):
+            node, root, n, pos, guest = (table.column(c).to_numpy() for c in ("id", "root", "n", "pos", "guest"))
+            counts = _counts(table.column("sketch").combine_chunks())
+
+            def linked(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                """Of these pairs of rows, the nodes of those that may link."""
+                least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                shared = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+                keep = ((root[x] != root[y]) & ~(guest[x] & guest[y]) & (least * 100 >= most * percent)
+                        & (shared * (100 + percent) >= (least + most) * percent))
+                x, y = x[keep], y[keep]
+                keep = _bounds(counts[x], counts[y]) * (100 + percent) >= (n[x] + n[y]) * percent
+                x, y = node[x[keep]], node[y[keep]]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+            sizes = np.diff(np.append(starts, table.num_rows))
+            small = np.repeat(sizes <= SMALL, sizes)
+            after = np.repeat(starts + sizes, sizes) - np.arange(len(node)) - 1  # rows behind a row in its list
+            rows = np.flatnonzero(small & (after > 0))
+            ends, k = np.cumsum(after[rows]), 0
+            while k < len(rows):
+                stop = max(k + 1, int(np.searchsorted(ends, ends[k] - after[rows[k]] + SLAB, "right")))
+                x, many = rows[k:stop], after[rows[k:stop]]
+                step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                x = np.repeat(x, many)
+                yield linked(x, x + 1 + step)
+                k = stop
+            for low, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                _, number, many = np.unique(root[low: low + size], return_inverse=True, return_counts=True)
+                rest = low + np.flatnonzero(number != many.argmax())  # one of each pair is outside the largest component
+                step = max(1, SLAB // size)
+                for k in range(0, len(rest), step):
+                    x = rest[k: k + step]
+                    yield linked(np.repeat(x, size), np.tile(np.arange(low, low + size), len(x)))
 
     return run
 
@@ -255,7 +312,7 @@ def _rooted(links: DataFrame, members: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: int | None = None,
           piece: int = PIECE, rounds: int = ROUNDS) -> DataFrame:
-    """Links a, b between ``nodes(id, n, prefix, node, key)``, all right and enough to join what links join."""
+    """Links a, b between ``nodes(id, n, prefix, sketch, node, key)``, all right and enough to join what links join."""
     least = percent / (100 - percent) if percent < 100 else float("inf")  # smaller sets link with none but themselves
     nodes = cut(nodes.where(F.col("n") >= least))
     listed = _listed(nodes, boundary(nodes, percent) if light is None else light, percent)
@@ -265,24 +322,26 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: i
     open_rows = cut(join_counted(listed, shared, ["list"], "m", "inner").withColumn("root", F.col("id")))
     sets = None
     for turn in range(rounds + 1):
-        if turn < rounds:  # every member meets one that is no guest
-            first = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            one = F.min(F.struct("guest", first.alias("first"), "id", "n", "pos", "root"))
+        if turn < rounds:
+            first = F.xxhash64("id", F.lit(turn)).alias("first")
+            one = F.min(F.struct("guest", first, "id", "n", "pos", "root"))  # the centre of a list is no guest
             lists = cut(open_rows.groupBy("list").agg(one.alias("one"), F.count(F.lit(1)).alias("m")))
             met = join_counted(open_rows.drop("m"), lists, ["list"], "m", "inner")
-            pairs = met.where((F.col("root") != F.col("one.root")) & _may_link(
-                F.col("n"), F.col("one.n"), F.col("pos"), F.col("one.pos"), percent)).select(
-                F.col("one.id").alias("a"), F.col("id").alias("b"))
+            meet = met.where((F.col("root") != F.col("one.root")) & _may_link(
+                F.col("n"), F.col("one.n"), F.col("pos"), F.col("one.pos"), percent)).groupBy(
+                F.col("one.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+            most = F.max(F.struct("lists", (-F.col("a")).alias("last"))).alias("most")  # of a set, the centre it meets
+            pairs = possible(meet.groupBy("b").agg(most).select((-F.col("most.last")).alias("a"), "b"), nodes, percent)
         else:
+            keys = ["list", "i", "j"]
             pieces = F.ceil(F.col("m") / F.lit(piece)).cast("int")
             own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
             dealt = open_rows.withColumn("pieces", pieces).withColumn("own", own).withColumn(
                 "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns(
                 {"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-            keys = ["list", "i", "j"]
-            pairs = spread(dealt.select(*keys, "id", "root", "n", "pos", "guest"), *keys).sortWithinPartitions(
-                *keys).mapInArrow(_apart(percent), "a long, b long")
-        pairs = cut(pairs.distinct())
+            full = dealt.select(*keys, "id", "root", "n", "pos", "guest").join(nodes.select("id", "sketch"), "id")
+            pairs = spread(full, *keys).sortWithinPartitions(*keys).mapInArrow(_apart(percent), "a long, b long").distinct()
+        pairs = cut(pairs)
         if not pairs.isEmpty():
             ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
             if sets is not None:
@@ -294,7 +353,7 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: i
         if turn < rounds:
             known = cut(_rooted(found, open_rows.drop("root")))
             still = cut(known.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"),
-                                                  F.max("root").alias("high")).where("low != high and m > 2").select("list", "m"))
+                                                  F.max("root").alias("high")).where("low != high").select("list", "m"))
             if still.isEmpty():
                 break
             before, open_rows = open_rows, cut(join_counted(known.drop("m"), still, ["list"], "m", "inner"))
@@ -320,7 +379,7 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     groups = cut(rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("row").alias("id")))
     chosen = groups.select(F.col("id").alias("row"))
-    nodes = rows.join(chosen, "row", "left_semi").select(F.col("row").alias("id"), "n", "prefix", "node", "key")
+    nodes = rows.join(chosen, "row", "left_semi").select(F.col("row").alias("id"), "n", "prefix", "sketch", "node", "key")
     linked = cut(_rooted(links(docs, nodes, percent=percent, **options), groups))
     whole = cut(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
     named = cut(join_counted(linked, whole, ["root"], "n", "inner").select("node", "rows", "component_id"))
