@@ -38,13 +38,13 @@ SUBSET = 2
 FREQUENT = 50_000  # shingles, the most frequent ones, that stand last in the order of all
 BLOCK = 4 << 20  # bytes of text whose shingles are counted together
 SAMPLE = 64  # one in so many shingles has its list measured
-ROUNDS = 1  # of centres
+ROUNDS = 1  # in which each set meets one other before all candidates that are left are compared
 SMALL = 64  # members of a list that is compared together with others
-SLAB = 1 << 16  # pairs compared at a time
+SLAB = 1 << 15  # pairs compared at a time
 PIECE = 4096  # members of a list that meet as many others in a task
 MEET = 20_000  # sets that meet one in a task
 FILTER = 1 << 27  # bits of the filter of wanted texts
-BUCKETS = 64  # of a sketch
+BUCKETS = 256  # of a sketch, by a hash's first byte
 
 _FACTOR = np.random.default_rng(SHINGLE).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -97,8 +97,10 @@ def ordered(hashes: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 def sketch(hashes: np.ndarray) -> bytes:
     """How many hashes fall into each of ``BUCKETS``. The sum of the lesser counts of two sketches is at least the number of
-    hashes that both sets hold."""
-    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+    hashes that both sets hold. Sets that could exceed a count allow everything."""
+    if len(hashes) >= 1 << 16:
+        return np.full(BUCKETS, 0xFFFF, "<u2").tobytes()
+    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype("<u2").tobytes()
 
 
 def _bounds(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def _bounds(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _counts(column: pa.Array) -> np.ndarray:
-    return text_bytes(column)[0].view("<u4").reshape(-1, BUCKETS)
+    return text_bytes(column)[0].view("<u2").reshape(-1, BUCKETS)
 
 
 def _rows(docs: DataFrame, percent: int) -> DataFrame:
@@ -319,46 +321,61 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: i
     found = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     shared = cut(listed.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("guests")).where(
         "m > 1 and not guests").drop("guests"))
-    open_rows = cut(join_counted(listed, shared, ["list"], "m", "inner").withColumn("root", F.col("id")))
+    open_rows = cut(join_counted(listed, shared, ["list"], "m", "inner"))
     sets = None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            first = F.xxhash64("id", F.lit(turn)).alias("first")
-            one = F.min(F.struct("guest", first, "id", "n", "pos", "root"))  # the centre of a list is no guest
-            lists = cut(open_rows.groupBy("list").agg(one.alias("one"), F.count(F.lit(1)).alias("m")))
-            met = join_counted(open_rows.drop("m"), lists, ["list"], "m", "inner")
-            meet = met.where((F.col("root") != F.col("one.root")) & _may_link(
-                F.col("n"), F.col("one.n"), F.col("pos"), F.col("one.pos"), percent)).groupBy(
-                F.col("one.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-            most = F.max(F.struct("lists", (-F.col("a")).alias("last"))).alias("most")  # of a set, the centre it meets
-            pairs = possible(meet.groupBy("b").agg(most).select((-F.col("most.last")).alias("a"), "b"), nodes, percent)
-        else:
-            keys = ["list", "i", "j"]
-            pieces = F.ceil(F.col("m") / F.lit(piece)).cast("int")
-            own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
-            dealt = open_rows.withColumn("pieces", pieces).withColumn("own", own).withColumn(
-                "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns(
-                {"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-            full = dealt.select(*keys, "id", "root", "n", "pos", "guest").join(nodes.select("id", "sketch"), "id")
-            pairs = spread(full, *keys).sortWithinPartitions(*keys).mapInArrow(_apart(percent), "a long, b long").distinct()
-        pairs = cut(pairs)
-        if not pairs.isEmpty():
-            ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            if sets is not None:
-                ids = cut(ids.join(sets, "id", "left_anti"))
-            if sets is None or not ids.isEmpty():
-                more = _filtered_sets(docs, cut(nodes.join(ids, "id").select("id", "node", "key")))
-                sets = more if sets is None else sets.unionByName(more)
-            found = cut(found.unionByName(similar(pairs, sets, percent)))
-        if turn < rounds:
-            known = cut(_rooted(found, open_rows.drop("root")))
-            still = cut(known.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"),
-                                                  F.max("root").alias("high")).where("low != high").select("list", "m"))
-            if still.isEmpty():
-                break
-            before, open_rows = open_rows, cut(join_counted(known.drop("m"), still, ["list"], "m", "inner"))
-            discard(before, known)
-    return found
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``found`` and those of ``pairs`` that link; sets that were not needed before are made from their texts."""
+        nonlocal sets
+        if pairs.isEmpty():
+            return found
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            ids = cut(ids.join(sets, "id", "left_anti"))
+        if sets is None or not ids.isEmpty():
+            more = _filtered_sets(docs, cut(nodes.join(ids, "id").select("id", "node", "key")))
+            sets = more if sets is None else sets.unionByName(more)
+        return cut(found.unionByName(similar(pairs, sets, percent)))
+
+    if rounds:
+        centre = F.min(F.struct("guest", F.xxhash64("id").alias("first"), "id", "n", "pos")).alias("one")  # no guest
+        lists = cut(open_rows.groupBy("list").agg(centre, F.count(F.lit(1)).alias("m")))
+        met = join_counted(open_rows.drop("m"), lists, ["list"], "m", "inner")
+        meet = met.where((F.col("id") != F.col("one.id")) & _may_link(
+            F.col("n"), F.col("one.n"), F.col("pos"), F.col("one.pos"), percent)).groupBy(
+            F.col("one.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+        most = F.max(F.struct("lists", (-F.col("a")).alias("last"))).alias("most")  # of a set, the centre it meets
+        found = verified(cut(possible(meet.groupBy("b").agg(most).select((-F.col("most.last")).alias("a"), "b"), nodes, percent)))
+
+    known = cut(_rooted(found, open_rows.drop("m")))
+    still = cut(known.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"),
+                                          F.max("root").alias("high")).where("low != high").select("list", "m"))
+    rest = cut(join_counted(known, still, ["list"], "m", "inner"))
+    discard(open_rows, known)
+    keys = ["list", "i", "j"]
+    pieces = F.ceil(F.col("m") / F.lit(piece)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+    dealt = rest.withColumn("pieces", pieces).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns(
+        {"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    full = dealt.select(*keys, "id", "root", "n", "pos", "guest").join(nodes.select("id", "sketch"), "id")
+    left = cut(spread(full, *keys).sortWithinPartitions(*keys).mapInArrow(_apart(percent), "a long, b long").distinct())
+    for _ in range(rounds):  # each set meets the first one that may link; that joins most of what is left
+        if left.isEmpty():
+            return found
+        first = cut(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        found = verified(first)
+        roots = cut(_rooted(found, nodes.select("id")).where("root != id"))
+        left = cut(_ends(left.join(first, ["a", "b"], "left_anti"), roots).where("ra != rb").select("a", "b"))
+    return verified(left)
+
+
+def _ends(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` and the roots of both ends; nodes that are not in ``roots`` are their own."""
+    for side in "ab":
+        one = roots.select(F.col("id").alias(side), F.col("root").alias("_root"))
+        pairs = pairs.join(one, side, "left").withColumn(f"r{side}", F.coalesce("_root", side)).drop("_root")
+    return pairs
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, **options) -> DataFrame:

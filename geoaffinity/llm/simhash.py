@@ -213,13 +213,15 @@ def first_rows(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Dat
     stay = cut(found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
                .groupBy("root").agg(first).select(F.col("k.doc_id").alias("_stay_id"),
                                                   F.col("k.text_key").alias("_stay_key"), "k.n"))
-    rows = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
+    # Under a struct, no column of ``docs`` can clash with the names of this join.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_doc_id"),
+                       F.xxhash64(F.col(text)).alias("_text_key"))
 
     def picked(some: DataFrame) -> DataFrame:
-        return rows.join(some, rows[doc_id].eqNullSafe(some["_stay_id"])
+        return rows.join(some, rows["_doc_id"].eqNullSafe(some["_stay_id"])
                          & (rows["_text_key"] == some["_stay_key"]), "left_semi")
 
     kept, repeated = picked(stay.where("n = 1")), stay.where("n > 1")
     if not repeated.isEmpty():  # rows equal in id and text
-        kept = kept.unionByName(picked(repeated).dropDuplicates([doc_id, "_text_key"]))
-    return kept.select(*docs.columns)
+        kept = kept.unionByName(picked(repeated).dropDuplicates(["_doc_id", "_text_key"]))
+    return kept.select("_row.*")

@@ -137,7 +137,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.hash, self.check = SpanHash(1), SpanHash(2)
+        self.hash = SpanHash(1)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: bytes of each id: a byte-level token has one character per byte
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -197,7 +197,7 @@ class PieceEncoder:
 
     def _differ(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> bool:
         """Whether some piece is not the piece ``model`` stands for: the first and last 8 bytes say
-        it for up to 16 bytes, a second hash for more."""
+        it for up to 16 bytes, all others are compared for more."""
         size = ends - starts
         padded = np.concatenate([np.zeros(8, np.uint8), raw, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))
@@ -205,10 +205,17 @@ class PieceEncoder:
         tail = np.where(size > 8, eight[ends], 0)
         if any(not np.array_equal(x, x[model]) for x in (size, head, tail)):
             return True
-        long = np.flatnonzero(size > 16)
-        models, which = np.unique(model[long], return_inverse=True)
-        second = self.check.bytes(raw, starts[long], ends[long])
-        return not np.array_equal(second, self.check.bytes(raw, starts[models], ends[models])[which])
+        long = np.flatnonzero((size > 16) & (model != np.arange(len(model))))
+        inner = size[long] - 16
+        total, k = np.cumsum(inner), 0
+        while k < len(long):  # a bounded number of bytes, or one longer piece
+            stop = max(k + 1, int(np.searchsorted(total, total[k] - inner[k] + PIECE, "right")))
+            some, n = long[k:stop], inner[k:stop]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + 8
+            if not np.array_equal(raw[np.repeat(starts[some], n) + step], raw[np.repeat(starts[model[some]], n) + step]):
+                return True
+            k = stop
+        return False
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, end to end, and the number of ids of each row."""

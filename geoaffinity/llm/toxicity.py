@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .text import SpanHash, row_texts
 
@@ -369,24 +369,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """Train on at most ``sample`` labelled documents outside the held-out fold.
 
     Rows without a label or an id are left out; of contradicting labels of one id the higher counts. With no labelled
-    document of one of the two classes, the model knows only the share of labels.
+    document of one of the two classes, the model knows only the share of labels. Of rows that share an id the least text
+    is learned from.
     """
     marked = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
               .where("_id is not null and _y is not null").where(~held_out(F.col("_id")))
               .groupBy("_id").agg(F.max("_y").alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(sample))  # at most ``sample`` ids, broadcast below
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(marked), "_id")
-    found = sorted((zlib.crc32(str(r["_id"]).encode()), r["_id"], r["_text"] or "", r["_y"])
-                   for r in rows.dropDuplicates(["_id"]).collect())
+    one = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
+    found = sorted((zlib.crc32(str(r["_id"]).encode()), r["_id"], r["_text"] or "", r["_y"]) for r in one.collect())
     y = np.array([int(r[3] > 0) for r in found], np.int64)
     return train([r[2].encode() for r in found], y) if len(found) else train([b""], np.zeros(1, np.int64))
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of ``docs`` and ``_score``, 0 to 1. Null text is empty; an
-    empty text is one window without words."""
-    keep = docs.columns if keep is None else keep
-    src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def _scored(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
+    """``_row`` (the kept columns, in a struct, so that no name clashes) and ``_score``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    src = docs.select(row.alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*src.dtypes[:-1], ("_score", "double")])
-    return src.mapInArrow(_scorer(shared), schema)
+    return src.mapInArrow(_scorer(shared), T.StructType([src.schema["_row"], T.StructField("_score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all but one called ``_score``) of ``docs`` and ``_score``, 0 to 1. Null text is
+    empty; an empty text is one window without words. Rows are never merged; an empty table gives an empty table."""
+    keep = [c for c in docs.columns if c != "_score"] if keep is None else keep
+    return _scored(docs, model, text, keep).select("_row.*", "_score")
+
+
+def below(docs: DataFrame, model: Model, limit: float = 0.5, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all of their columns whatever their names."""
+    return _scored(docs, model, text, docs.columns).where(F.col("_score") < limit).select("_row.*")
