@@ -68,7 +68,7 @@ def slopes(lists: Segments, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
-    return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
+    return np.maximum(z, 0.0) + np.log(1.0 + np.exp(-np.abs(z)))
 
 
 def losses(lists: Segments, scores: Sequence[np.ndarray]) -> np.ndarray:
@@ -79,7 +79,7 @@ def losses(lists: Segments, scores: Sequence[np.ndarray]) -> np.ndarray:
     for own, mine, many, other in lists.slabs():
         for k, z in enumerate(powers):
             if calm:
-                value = np.log1p(z[other] * np.repeat(1.0 / z[mine], many))
+                value = np.log(1.0 + z[other] * np.repeat(1.0 / z[mine], many))
             else:
                 value = softplus(z[other] - np.repeat(z[mine], many))
             np.add.at(out[:, k], own, run_sums(value, many))

@@ -420,15 +420,17 @@ SELECT second % 4 AS part, (second, "user", substr(imei, 1, 8), cell) IN (SELECT
 AS ok FROM sightings) GROUP BY part""", "sightings", "valid")
 oracle("file_position_counts", "SELECT * FROM counts", "counts")
 oracle("file_device_history", 'SELECT "user", btime, device FROM history', "history")
-oracle("file_visits_hist", """SELECT value, count(*) AS cnt FROM (SELECT "user",
-sum(cnt)::BIGINT AS value FROM counts WHERE place_type = 'home' GROUP BY ALL) GROUP BY ALL""", "counts")
+for _name, _kind in (("file_visits_hist", "home"), ("file_work_visits_hist", "work")):
+    oracle(_name, f"""SELECT value, count(*) AS cnt FROM (SELECT "user",
+sum(cnt)::BIGINT AS value FROM counts WHERE place_type = '{_kind}' GROUP BY ALL) GROUP BY ALL""", "counts")
 oracle("file_numbered_devices", "SELECT device, d FROM coverage", "coverage")
 oracle("file_numbered_users", 'SELECT "user", u FROM users', "users")
 oracle("file_numbered_usage", f"""SELECT strftime(make_timestamp(btime * 1000000), '%Y%m%d') AS date, u, d FROM covered
 JOIN users USING ("user") JOIN coverage USING (device)""", "covered", "users", "coverage")
 oracle("file_train_test", "SELECT date, u, d, part FROM tsplit", "tsplit")
-oracle("file_semantic_places", """SELECT "user", round(lat, 6) AS lat, round(lng, 6) AS lng FROM semantic
-WHERE place_type = 'home'""", "semantic")
+for _name, _kind in (("file_semantic_places", "home"), ("file_work_places", "work")):
+    oracle(_name, f"""SELECT "user", round(lat, 6) AS lat, round(lng, 6) AS lng FROM semantic
+WHERE place_type = '{_kind}'""", "semantic")
 oracle("file_numbered_places", f"""SELECT u, {", ".join(f"round({c}, 6) AS {c}" for c in ("hlat", "hlng", "wlat", "wlng"))}
 FROM named_places""", "named_places")
 oracle("home_sightings", f"SELECT {CTX} FROM context WHERE hour < 8 OR hour >= 20", "context")

@@ -99,14 +99,15 @@ def _parquet(spark, df, name, *by):
 
 @query
 def records_by_shard(spark, sf):
-    """Four shards of the log, told apart on reading by the file they come from."""
+    """Four parts of the log, written by all tasks; read back, each file is a shard of one part."""
     path, log = scratch_path(spark, "shards"), fx.sightings(spark, sf)
     for k in range(4):
-        sources.write_text(log.where(F.pmod("second", F.lit(4)) == k).coalesce(1), "sightings", f"{path}/{k}")
+        sources.write_text(log.where(F.pmod("second", F.lit(4)) == k), "sightings", f"{path}/{k}")
     scan = cut(sources.read_sightings(spark, f"{path}/*/*.csv"))
     valid = usage.valid_sightings(scan, _cells(spark, sf), _devices(spark, sf), fx.DAYS)
     names = scan.groupBy("shard").agg(F.min(F.pmod("second", F.lit(4))).alias("part"))
-    return shape(usage.records_by_shard(scan, valid).join(names, "shard"),
+    files = usage.records_by_shard(scan, valid).join(names, "shard")
+    return shape(files.groupBy("part").agg(F.sum("records").alias("records"), F.sum("kept").alias("kept")),
                  part="bigint", records="bigint", kept="bigint")
 
 
@@ -148,7 +149,16 @@ def file_device_history(spark, sf):
 @query
 def file_visits_hist(spark, sf):
     """A count file: how many users have how many home sightings."""
-    hist = places.visits_hist(_counts(spark, sf)).where(F.col("place_type") == "home")
+    return _visits_file(spark, sf, "home")
+
+
+@query
+def file_work_visits_hist(spark, sf):
+    return _visits_file(spark, sf, "work")
+
+
+def _visits_file(spark, sf, kind):
+    hist = places.visits_hist(_counts(spark, sf)).where(F.col("place_type") == kind)
     return shape(_text(spark, hist, "histogram"), value="bigint", cnt="bigint")
 
 
@@ -178,9 +188,18 @@ def file_train_test(spark, sf):
 @query
 def file_semantic_places(spark, sf):
     """Home places as text, positions as ``lat#lng``."""
-    home = _semantic(spark, sf).where(F.col("place_type") == "home").withColumn(
+    return _places_file(spark, sf, "home")
+
+
+@query
+def file_work_places(spark, sf):
+    return _places_file(spark, sf, "work")
+
+
+def _places_file(spark, sf, kind):
+    rows = _semantic(spark, sf).where(F.col("place_type") == kind).withColumn(
         "position", sources.position_text("lat", "lng"))
-    back = _text(spark, home, "semantic_places")
+    back = _text(spark, rows, "semantic_places")
     return shape(back.select("user", *sources.parse_position("position", ["lat", "lng"])), user="bigint",
                  lat=6, lng=6)
 
