@@ -39,6 +39,7 @@ FREQUENT = 50_000  # shingles, the most frequent ones, that stand last in the or
 BLOCK = 4 << 20  # bytes of text whose shingles are counted together
 SAMPLE = 64  # one in so many shingles has its list measured
 ROUNDS = 1  # in which each set meets one other before all candidates that are left are compared
+SHARE = 16  # one in so many lists is compared before all others
 SMALL = 64  # members of a list that is compared together with others
 SLAB = 1 << 15  # pairs compared at a time
 PIECE = 4096  # members of a list that meet as many others in a task
@@ -152,7 +153,8 @@ def boundary(nodes: DataFrame, percent: int) -> int:
     names = sized.select("k", F.explode(F.slice("prefix", 1, _first(F.col("n"), 1, percent))).alias("h"))
     lists = names.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("h", "k").agg(F.count(F.lit(1)).alias("c")).groupBy(
         "h").agg(F.sum("c").alias("m"), F.collect_list(F.struct("k", "c")).alias("parts"))  # a row per size class
-    scans = lists.select("m", F.inline("parts")).groupBy("k").agg(
+    reach = F.least("m", F.lit(SMALL))  # a longer list is met by its centre first
+    scans = lists.select(reach.alias("m"), F.inline("parts")).groupBy("k").agg(
         (F.sum(F.col("c") * F.col("m")) * SAMPLE).alias("scan"))
     classes = sizes.join(scans, "k", "left").fillna(0, ["scan"]).orderBy("k").collect()  # 8 for each doubling of the size
     best, least, light = 0, float("inf"), 0.0
@@ -269,7 +271,6 @@ def _apart(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, keys):
             node, root, n, pos, guest = (table.column(c).to_numpy() for c in ("id", "root", "n", "pos", "guest"))
-            counts = _counts(table.column("sketch").combine_chunks())
 
             def linked(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
                 """Of these pairs of rows, the nodes of those that may link."""
@@ -277,8 +278,6 @@ def _apart(percent: int):
                 shared = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
                 keep = ((root[x] != root[y]) & ~(guest[x] & guest[y]) & (least * 100 >= most * percent)
                         & (shared * (100 + percent) >= (least + most) * percent))
-                x, y = x[keep], y[keep]
-                keep = _bounds(counts[x], counts[y]) * (100 + percent) >= (n[x] + n[y]) * percent
                 x, y = node[x[keep]], node[y[keep]]
                 return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -347,27 +346,31 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: i
         most = F.max(F.struct("lists", (-F.col("a")).alias("last"))).alias("most")  # of a set, the centre it meets
         found = verified(cut(possible(meet.groupBy("b").agg(most).select((-F.col("most.last")).alias("a"), "b"), nodes, percent)))
 
-    known = cut(_rooted(found, open_rows.drop("m")))
-    still = cut(known.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"),
-                                          F.max("root").alias("high")).where("low != high").select("list", "m"))
-    rest = cut(join_counted(known, still, ["list"], "m", "inner"))
-    discard(open_rows, known)
-    keys = ["list", "i", "j"]
-    pieces = F.ceil(F.col("m") / F.lit(piece)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
-    dealt = rest.withColumn("pieces", pieces).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns(
-        {"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    full = dealt.select(*keys, "id", "root", "n", "pos", "guest").join(nodes.select("id", "sketch"), "id")
-    left = cut(spread(full, *keys).sortWithinPartitions(*keys).mapInArrow(_apart(percent), "a long, b long").distinct())
-    for _ in range(rounds):  # each set meets the first one that may link; that joins most of what is left
-        if left.isEmpty():
-            return found
-        first = cut(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        found = verified(first)
+    def apart(share: int) -> DataFrame:
+        """Candidates of different components from one in ``share`` of the lists that are not in one component."""
+        known = cut(_rooted(found, open_rows.where(F.pmod("list", F.lit(share)) == 0).drop("m")))
+        still = cut(known.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"),
+                                              F.max("root").alias("high")).where("low != high").select("list", "m"))
+        keys = ["list", "i", "j"]
+        pieces = F.ceil(F.col("m") / F.lit(piece)).cast("int")
+        own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+        dealt = join_counted(known, still, ["list"], "m", "inner").withColumn("pieces", pieces).withColumn("own", own).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns(
+            {"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        rows = spread(dealt.select(*keys, "id", "root", "n", "pos", "guest"), *keys).sortWithinPartitions(*keys)
+        return rows.mapInArrow(_apart(percent), "a long, b long").distinct()
+
+    # Sets that link share many lists, so a share of the lists shows most of them; each set meets the first
+    # one that it may link with, which joins nearly all. Then the lists that are still apart, all of them.
+    tested = found.limit(0)
+    if rounds:
+        left = cut(possible(apart(SHARE), nodes, percent))
+        tested = cut(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        found = verified(tested)
         roots = cut(_rooted(found, nodes.select("id")).where("root != id"))
-        left = cut(_ends(left.join(first, ["a", "b"], "left_anti"), roots).where("ra != rb").select("a", "b"))
-    return verified(left)
+        left = cut(_ends(left.join(tested, ["a", "b"], "left_anti"), roots).where("ra != rb").select("a", "b"))
+        found, tested = verified(left), tested.unionByName(left)
+    return verified(cut(possible(apart(1).join(tested, ["a", "b"], "left_anti"), nodes, percent)))
 
 
 def _ends(pairs: DataFrame, roots: DataFrame) -> DataFrame:
