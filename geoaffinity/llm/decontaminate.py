@@ -10,12 +10,12 @@ no broadcast exceeds that size however large the benchmark is; documents pass th
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..runtime import cut
 from .automaton import SuffixAutomaton
@@ -110,17 +110,21 @@ def shards(items: DataFrame, item_id: str, text: str, most: int) -> Iterator[lis
 
 
 def scan(docs: DataFrame, items: DataFrame, *, text: str, item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, most: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with _n (words), _hits (borders of hit word ranges) and _items (sorted ids)."""
+         item_text: str = "text", window: int = WINDOW, most: int = SHARD_WORDS,
+         then: Callable | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """``docs`` with _n (words), _hits (borders of hit word ranges) and _items (sorted ids); or what ``then`` makes of
+    batches of these, with ``schema``, in the same Python worker."""
     rows = docs.withColumns({"_n": F.lit(0).cast("long"), "_hits": F.lit([]).cast("array<int>"),
                              "_items": F.lit([]).cast("array<string>")})
-    context, first = docs.sparkSession.sparkContext, True
-    for shard in shards(items, item_id, item_text, most):
+    context, passages = docs.sparkSession.sparkContext, None
+    for shard in shards(items, item_id, item_text, most):  # one at least
+        if passages is not None:  # a table between two shards: one Python worker and one shard in memory at a time
+            rows = cut(rows.mapInArrow(_scanner(passages, text), rows.schema))
         passages = context.broadcast(Passages(shard, window))
-        if not first:  # a table between two shards: one Python worker and one shard in memory at a time
-            rows = cut(rows)
-        rows, first = rows.mapInArrow(_scanner(passages, text), rows.schema), False
-    return rows
+    last = _scanner(passages, text)
+    if then is None:
+        return rows.mapInArrow(last, rows.schema)
+    return rows.mapInArrow(lambda batches: then(last(batches)), schema)
 
 
 def _scanner(shared, text: str):
@@ -172,9 +176,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", lengt
     """
     src = docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(docs.columns)})
     at = dict(zip(docs.columns, src.columns))
-    found = scan(src, items, text=at[text], **options)
-    kept = found.mapInArrow(
-        _cutter(at[text], at.get(length), max_coverage), src.schema)
+    kept = scan(src, items, text=at[text], then=_cutter(at[text], at.get(length), max_coverage), schema=src.schema, **options)
     return kept.withColumnsRenamed({v: k for k, v in at.items()})
 
 
