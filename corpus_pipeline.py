@@ -7,7 +7,7 @@ or an empty table; a text has to fit into a task.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoaffinity.llm import decontaminate, mixing, shingle_copies, token_output, toxicity
+from geoaffinity.llm import decontaminate, mixing, shingle_copies, simhash, token_output, toxicity
 from geoaffinity.llm.queries import table, tokenizer_file
 from geoaffinity.runtime import cut
 
@@ -26,10 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard 0.8 or more), the one with the smallest id; a
-    null id comes last, of repeated rows one stays. Documents without words, null text too, are copies of each other."""
+    """One document of each group of near copies by fingerprint (two bits), then one of each group that is left with a
+    five-word Jaccard of 0.8 or more: the one with the smallest id; a null id comes last, of repeated rows one stays.
+    Documents without words, null text too, are copies of each other."""
     _small_batches(spark)
-    return shingle_copies.one_per_group(docs)
+    return shingle_copies.one_per_group(cut(simhash.one_per_group(docs)))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

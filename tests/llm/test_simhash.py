@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from geoaffinity.llm import simhash
 from geoaffinity.llm.components import components
 
@@ -128,3 +129,12 @@ def test_documents(spark):
 def test_no_documents(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_copies(empty).collect() == [] and simhash.one_per_group(empty).collect() == []
+
+
+def test_the_pipeline_drops_copies_by_fingerprint(spark):
+    """Five-word sets alone do not link these two, their fingerprints do; the last one is linked by its set."""
+    words = " ".join(f"w{k}" for k in range(60))
+    texts = {1: "a b c " * 50, 2: "a b c " * 50 + "d e f g h i j k l", 3: words, 4: words + " new"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
