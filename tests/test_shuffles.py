@@ -36,3 +36,17 @@ def test_samples_meet_users_before_items(spark, plan):
     assert text.index("BroadcastHashJoin") < text.index("SortMergeJoin")  # outermost first: samples are shuffled without q
     assert scores.count() == sum(1 for u in range(90_000) if u % 7 < 5)
     assert {r.z for r in scores.select("z").distinct().collect()} == {4.25}
+
+
+def test_split_does_not_shuffle_folds_of_users_together(spark, plan):
+    rows = [(u, d) for u in range(40) for d in range(1 + u % 5)] + [(None, 1), (None, 2)]
+    users = spread(spark.createDataFrame(rows, "u long, d long"), "u")
+    data = splits.with_folds(users, 3)
+    split = splits.stratified_split(data)
+    assert not re.search(r"hashpartitioning\(fold#\d+L?, u#", plan(split, "-1"))
+    got = split.collect()
+    assert len(got) == 3 * (len(rows) - 2) and all(r.part == "train" for r in got if r.u % 5 == 0)
+    # The two rows without a user are counted: 0.2 N / N1 with N1 = N - 8 users of one row.
+    share = len(rows) * 0.2 / (len(rows) - 8)
+    draw = spark.createDataFrame(got).withColumn("draw", splits.hash_uniform(F.col("fold") + splits.SEED, F.col("u"), F.col("d")))
+    assert all((r.part == "valid") == (r.draw < share) for r in draw.collect() if r.u % 5)
