@@ -50,3 +50,14 @@ def test_split_does_not_shuffle_folds_of_users_together(spark, plan):
     share = len(rows) * 0.2 / (len(rows) - 8)
     draw = spark.createDataFrame(got).withColumn("draw", splits.hash_uniform(F.col("fold") + splits.SEED, F.col("u"), F.col("d")))
     assert all((r.part == "valid") == (r.draw < share) for r in draw.collect() if r.u % 5)
+
+
+def test_overlap_does_not_multiply_edges(spark, plan):
+    edges = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 3, 3), (2, 1, 1), (3, 9, 1), (9, 3, 1)], "src long, dst long, rank int")
+    used = spark.createDataFrame([(1, 1), (1, 2), (1, None), (2, 2), (3, 1), (3, 2), (3, None)], "u long, d long")
+    ratio = geograph.edge_overlap(edges, used, "ratio")
+    assert not re.search(r"hashpartitioning\([^)]*\bd#", plan(ratio, "-1"))  # no row for each device of each edge
+    got = {(r.src, r.dst, r["rank"]): r.cover for r in ratio.collect()}
+    assert got == {(1, 2, 1): 1 / 3, (1, 3, 2): 4 / 3, (1, 3, 3): 4 / 3, (2, 1, 1): 1.0}  # a null device is shared with none
+    any_ = {(r.src, r.dst): r.cover for r in geograph.edge_overlap(edges, used).collect()}
+    assert any_ == {(1, 2): 1.0, (1, 3): 1.0, (2, 1): 1.0}
