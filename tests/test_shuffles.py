@@ -61,3 +61,11 @@ def test_overlap_does_not_multiply_edges(spark, plan):
     assert got == {(1, 2, 1): 1 / 3, (1, 3, 2): 4 / 3, (1, 3, 3): 4 / 3, (2, 1, 1): 1.0}  # a null device is shared with none
     any_ = {(r.src, r.dst): r.cover for r in geograph.edge_overlap(edges, used).collect()}
     assert any_ == {(1, 2): 1.0, (1, 3): 1.0, (2, 1): 1.0}
+
+
+def test_tasks_of_triples_follow_the_samples(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "TASK", 10, raising=False)
+    samples = spark.createDataFrame([(0, u, d, d % 2) for u in range(50) for d in range(8)], "fold int, u long, d long, x int")
+    counts = sampling.rank_sample_counts(samples)
+    assert counts.rdd.getNumPartitions() == 40
+    assert {tuple(r) for r in counts.collect()} == {(0, u, d, 4, 12) for u in range(50) for d in (1, 3, 5, 7)}
