@@ -16,6 +16,7 @@ The files are Parquet written and committed by Spark: a lost executor costs a ta
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .text import PIECE, SpanHash, row_blocks, text_bytes
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)  # by selector; 60 // count bits each
 BLOCK = 1024  # ids
 CHUNK = 1 << 18  # ids, or one longer document
-CACHE = 100_000  # distinct pieces of text remembered by a task
+CACHE = 800_000  # distinct pieces of text remembered by a Python worker
 JOINED = 500  # pieces that go through the tokenizer in one string
 
 
@@ -240,9 +241,15 @@ class PieceEncoder:
         return out, np.diff(edge)
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(tokenizer_file: str) -> PieceEncoder:
+    """The encoder of this Python worker, which keeps it from task to task. Ids do not depend on what it remembers."""
+    return PieceEncoder(tokenizer_file)
+
+
 def _chunks(tokenizer_file: str, end_id: int | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = PieceEncoder(tokenizer_file), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer_file), TaskContext.get().partitionId()
         ids, sizes, names, waiting, start, number = [], [], [], 0, 0, 0
 
         def chunk() -> pa.RecordBatch:

@@ -126,3 +126,14 @@ def test_mask_by_binary_search():
     assert not chat.loss_mask(starts, ends, [(3, 3), (10, 10)]).any()
     assert hashlib.sha256(chat.masked_text("abcdefghij", starts, ends, [False, True, True, False, True]).encode()
                           ).hexdigest() == hashlib.sha256(b"dej").hexdigest()
+
+
+def test_a_worker_keeps_its_encoder(monkeypatch):
+    """What one task has met, the next task of the same worker does not encode again."""
+    token_output.worker_encoder.cache_clear()
+    rows = [t.encode() for t in texts(4)]
+    raw, at = np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    first = token_output.worker_encoder(FILE).encode(raw, at)
+    monkeypatch.setattr(token_output.PieceEncoder, "_code", None)  # nothing is left for the tokenizer
+    again = token_output.worker_encoder(FILE).encode(raw, at)
+    assert all(np.array_equal(a, b) for a, b in zip(first, again))
