@@ -33,23 +33,33 @@ class SuffixAutomaton:
 
     def add(self, tokens: Iterable[int]) -> list[int]:
         """Add a sequence; the states of its prefixes at the time (later splits keep these runs in them)."""
-        edges, link, at, out = self.next, self.link, 0, []
+        edges, link, length, at, out = self.next, self.link, self.length, 0, []
         for token in tokens:
             q = edges[at].get(token)
             if q is not None:
-                at = self._split(at, token, q)
+                at = q if length[q] == length[at] + 1 else self._split(at, token, q)
             else:
-                new = self._state(self.length[at] + 1, 0, {})
-                p = at
-                while p >= 0 and token not in edges[p]:
-                    edges[p][token] = new
+                new, p = len(link), at
+                edges.append({})
+                length.append(length[at] + 1)
+                link.append(0)
+                while p >= 0:
+                    q = edges[p].setdefault(token, new)
+                    if q != new:
+                        link[new] = q if length[q] == length[p] + 1 else self._split(p, token, q)
+                        break
                     p = link[p]
-                if p >= 0:
-                    link[new] = self._split(p, token, edges[p][token])
                 at = new
             out.append(at)
         return out
 
+    def path(self, tokens: Iterable[int]) -> Iterable[int]:
+        """The states of the prefixes of a sequence that was added, after all splits."""
+        edges, at = self.next, 0
+        for token in tokens:
+            at = edges[at][token]
+            yield at
+
     def holder(self, state: int, n: int) -> int:
         """The state of the last n tokens of ``state``'s longest run."""
         while self.length[self.link[state]] >= n:

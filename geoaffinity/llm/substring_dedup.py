@@ -10,6 +10,7 @@ of a group of many different contexts are dealt to several automata by their wor
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import pyarrow as pa
@@ -39,17 +40,18 @@ def first_places(contexts: list[tuple[int, int, list[bytes]]], size: int) -> Ite
             if first[state] is None or place < first[state]:
                 first[state] = place
             place += 1
-    link = automaton.link
-    for state in sorted(range(1, len(link)), key=automaton.length.__getitem__, reverse=True):
+    link, length, mask = automaton.link, automaton.length, (1 << AT) - 1
+    for state in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
         up, place = link[state], first[state]
         if place is not None and (first[up] is None or place < first[up]):
             first[up] = place
     for code in coded:
         out = []
-        for state, length in automaton.follow(code):
-            if length >= size:
-                place = first[automaton.holder(state, size)] - size + 1
-                out.append((place >> AT, place & ((1 << AT) - 1)))
+        for state in islice(automaton.path(code), size - 1, None):  # the ends of windows
+            while length[link[state]] >= size:  # as ``holder``
+                state = link[state]
+            place = first[state] - size + 1
+            out.append((place >> AT, place & mask))
         yield out
 
 

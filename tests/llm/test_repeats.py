@@ -120,3 +120,14 @@ def test_first_places():
             first[w] = min(first.get(w, (did, at + i)), (did, at + i))
     for (_, _, words), got in zip(contexts, substring_dedup.first_places(contexts, 5)):
         assert got == [first[tuple(words[i: i + 5])] for i in range(len(words) - 4)]
+
+
+def test_path_is_what_follow_finds():
+    """Sequences that were added are walked without links, to the same states."""
+    rng = random.Random(5)
+    rows = [[rng.randrange(4) for _ in range(rng.randrange(1, 40))] for _ in range(60)]
+    automaton = SuffixAutomaton()
+    for row in rows:
+        automaton.add(row)
+    for row in rows:
+        assert [(s, k) for k, s in enumerate(automaton.path(row), 1)] == [(s, k) for s, k in automaton.follow(row)]
