@@ -66,6 +66,21 @@ def test_small_blocks(samples, edges, monkeypatch, pairwise):
     close(whole, factor.fit(samples, OPTIONS, pairwise=pairwise, edges=edges))
 
 
+@pytest.mark.parametrize("sent", [1 << 15, 2])
+def test_friends_of_many_blocks(samples, edges, monkeypatch, sent):
+    """More blocks of users than meet block against block: vectors are sent along the edges, nothing is trained by joins."""
+    want = factor.fit_joined(samples, OPTIONS, edges)
+    pack = blocks.pack
+    monkeypatch.setattr(factor.blocks, "pack", lambda *a, **k: pack(*a, **k, cell=16, block=3))
+    monkeypatch.setattr(blocks, "GRID", 2)
+    monkeypatch.setattr(blocks, "EDGES", sent, raising=False)
+    monkeypatch.setattr(factor, "fit_joined", None)
+    got = factor.fit(samples, OPTIONS, edges=edges)
+    close(got, want)
+    none = edges.selectExpr("src", "cast(null as long) as dst", "score")
+    close(factor.fit(samples, OPTIONS, edges=edges.unionByName(none).unionByName(none.selectExpr("dst as src", "src as dst", "score"))), want)
+
+
 def test_a_catalogue_too_large_is_trained_by_joins(samples, monkeypatch):
     whole = factor.fit(samples, OPTIONS)
     monkeypatch.setattr(blocks, "ITEMS", 5)
