@@ -81,6 +81,16 @@ def test_friends_of_many_blocks(samples, edges, monkeypatch, sent):
     close(factor.fit(samples, OPTIONS, edges=edges.unionByName(none).unionByName(none.selectExpr("dst as src", "src as dst", "score"))), want)
 
 
+def test_products_of_short_and_long_runs():
+    """Sums by run and by item against plain products, on both sides of the limit for runs."""
+    rng = np.random.default_rng(11)
+    for size in (3, blocks.LONG):
+        e, table, row = rng.normal(size=6 * size), rng.normal(size=(9, 4)), rng.integers(0, 9, 6 * size)
+        start, item = np.arange(0, 6 * size, size), rng.integers(0, 5, 6 * size)
+        assert np.allclose(blocks.run_products(e, table, row, start), [e[a: a + size] @ table[row[a: a + size]] for a in start])
+        assert np.allclose(blocks.item_products(e, table, row, item, 7), [e[item == d] @ table[row[item == d]] for d in range(7)])
+
+
 def test_a_catalogue_too_large_is_trained_by_joins(samples, monkeypatch):
     whole = factor.fit(samples, OPTIONS)
     monkeypatch.setattr(blocks, "ITEMS", 5)
