@@ -5,11 +5,11 @@ shared folder, so a lost executor repeats tasks of one stage at most. No stage m
 or an empty table; a text has to fit into a task.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoaffinity.llm import decontaminate, mixing, shingle_copies, simhash, token_output, toxicity
 from geoaffinity.llm.queries import table, tokenizer_file
-from geoaffinity.runtime import cut
+from geoaffinity.runtime import cut, discard
 
 BATCH = "1000"  # rows that a Python worker and the JVM hold at a time: texts are long
 
@@ -30,7 +30,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     five-word Jaccard of 0.8 or more: the one with the smallest id; a null id comes last, of repeated rows one stays.
     Documents without words, null text too, are copies of each other."""
     _small_batches(spark)
-    return shingle_copies.one_per_group(cut(simhash.one_per_group(docs)))
+    some = cut(simhash.one_per_group(docs))
+    found = shingle_copies.near_copies(some)
+    discard(some)
+    # The rows are read from ``docs`` again, as often as they stand there, so that no copy of all texts is left behind.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
+    again = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["text_key"] == found["text_key"])).select(
+        rows["doc_id"], rows["text_key"], "root")
+    return simhash.first_rows(docs, again, "doc_id", "text")
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

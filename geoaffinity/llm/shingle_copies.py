@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut, spread
+from ..runtime import cut, discard, spread
 from .components import components
 from .grouped import whole_groups
 from .simhash import SEED, first_rows
@@ -91,7 +91,9 @@ def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str) -> Data
     chosen = cut(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("_key")))
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("_key"))
     held = texts.join(chosen, "_key").select("node", "text").dropDuplicates(["node"])
-    return cut(held.mapInArrow(run, "node long, hashes binary"))
+    out = cut(held.mapInArrow(run, "node long, hashes binary"))
+    discard(chosen)
+    return out
 
 
 def _counted(sets: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -100,7 +102,7 @@ def _counted(sets: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar."""
+    """Those of ``pairs(a, b)`` whose sets are similar, as a table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
@@ -110,9 +112,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 good[k] = both / (len(x) + len(y) - both) >= similarity
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    one = join_counted(pairs, _counted(sets, pairs, "a"), ["a"], "n", "inner").drop("n")
-    both = join_counted(one, _counted(sets, pairs, "b"), ["b"], "n", "inner")
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    first, second = (_counted(sets, pairs, side) for side in ("a", "b"))
+    one = join_counted(pairs, first, ["a"], "n", "inner").drop("n")
+    both = join_counted(one, second, ["b"], "n", "inner")
+    out = cut(both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
+    discard(first, second)
+    return out
 
 
 def _links(sets: list[np.ndarray], own: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -161,7 +166,7 @@ def _search(similarity: float):
 
 
 def _whole(open_rows: DataFrame, sets: DataFrame, similarity: float, piece: int) -> DataFrame:
-    """Links inside ``open_rows(bucket, node, root, m)``, whole buckets of m members."""
+    """Links inside ``open_rows(bucket, node, root, m)``, whole buckets of m members, as a table."""
     pieces = F.ceil(F.col("m") / F.lit(piece)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     dealt = open_rows.withColumn("pieces", pieces).withColumn("own", own).withColumn(
@@ -171,7 +176,9 @@ def _whole(open_rows: DataFrame, sets: DataFrame, similarity: float, piece: int)
     counted = cut(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(sets, "node"))
     keys = ["bucket", "i", "j"]
     full = join_counted(dealt, counted, ["node"], "n", "inner").select(*keys, "node", "root", "hashes")
-    return spread(full, *keys).sortWithinPartitions(*keys).mapInArrow(_search(similarity), "a long, b long")
+    out = cut(spread(full, *keys).sortWithinPartitions(*keys).mapInArrow(_search(similarity), "a long, b long"))
+    discard(dealt, counted)
+    return out
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
@@ -185,33 +192,46 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     buckets = cut(dealt.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("lead"),
                                               F.count(F.lit(1)).alias("m")).where("m > 1"))
     met = cut(join_counted(dealt, buckets, ["bucket"], "m", "inner"))
+    discard(dealt, buckets)
     close = F.least("size", "lead.size") / F.greatest("size", "lead.size") >= similarity
     pairs = cut(met.where(close & (F.col("node") != F.col("lead.node"))).select(
         F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())
     sets = _sets(docs, rows, met.where("m > 2").select("node").unionByName(pairs.select(F.col("a").alias("node")))
                  .unionByName(pairs.select(F.col("b").alias("node"))).distinct(), text)
-    links = cut(_similar(pairs, sets, similarity))
-
-    roots = cut(_rooted(nodes, links))
-    known = cut(join_counted(met.where("m > 2").select("bucket", "node", "m"), _per_node(met, roots), ["node"], "n",
-                             "inner").select("bucket", "node", "root", "m"))
+    links = _similar(pairs, sets, similarity)
+    discard(pairs)
+
+    roots = _rooted(nodes, links)
+    ours = _per_node(met, roots)
+    known = cut(join_counted(met.where("m > 2").select("bucket", "node", "m"), ours, ["node"], "n", "inner").select(
+        "bucket", "node", "root", "m"))
+    discard(met, ours)
     # Buckets with the same members are one, and those inside one component are done.
     state = cut(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"),
                                             F.min("root").alias("low"), F.max("root").alias("high"))
                 .where("low != high").groupBy("m", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "m"))
     rest = join_counted(known.drop("m"), state, ["bucket"], "m", "inner").select("bucket", "node", "root", "m")
-    more = cut(_whole(rest, sets, similarity, piece))
+    more = _whole(rest, sets, similarity, piece)
+    discard(known, state, sets)
     if not more.isEmpty():
-        roots = cut(_rooted(nodes, links.unionByName(more)))
+        old, roots = roots, _rooted(nodes, links.unionByName(more))
+        discard(old)
+    discard(links, more)
     counted = cut(nodes.select("node", "rows").join(roots, "node"))
-    return join_counted(rows.select("doc_id", "text_key", "node"), counted, ["node"], "rows", "inner").select(
-        "doc_id", "text_key", "root")
+    discard(nodes, roots)
+    out = cut(join_counted(rows.select("doc_id", "text_key", "node"), counted, ["node"], "rows", "inner").select(
+        "doc_id", "text_key", "root"))
+    discard(rows, counted)
+    return out
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, root of all nodes; a node without links is its own root."""
-    found = cut(components(links)).withColumnRenamed("root", "_root")
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("_root", "node").alias("root"))
+    """node, root of all nodes, as a table; a node without links is its own root."""
+    found = components(links)
+    out = cut(nodes.select("node").join(found.withColumnRenamed("root", "_root"), "node", "left").select(
+        "node", F.coalesce("_root", "node").alias("root")))
+    discard(found)
+    return out
 
 
 def _per_node(met: DataFrame, roots: DataFrame) -> DataFrame:

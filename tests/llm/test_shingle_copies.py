@@ -2,11 +2,13 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from geoaffinity.llm import shingle_copies
+from geoaffinity.llm import shingle_copies, simhash
+from geoaffinity.runtime import cut
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,5 +76,21 @@ def test_pipeline_stage(spark):
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
 
 
+def test_pipeline_stage_leaves_no_large_tables(spark):
+    """What the stage returns is read from its input: of its own tables only keys are left. Repeated rows and null ids."""
+    rows = list(enumerate(texts(3)))
+    docs = cut(spark.createDataFrame([(d, t, "x", "s", 1) for d, t in [*rows, rows[8], rows[9], rows[9], (None, "zzz"), (None, "zzz")]], DOCS))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    some = simhash.one_per_group(docs)
+    want = shingle_copies.one_per_group(cut(some))
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    docs, before = cut(docs), set(shared.rglob("*.parquet"))
+    corpus_pipeline.drop_near_copies(spark, docs, "")
+    left = [spark.read.parquet(str(f)).columns for f in set(shared.rglob("*.parquet")) - before]
+    assert not any({"text", "hashes", "bands", "lead"} & set(c) for c in left)
+
+
 def test_no_documents(spark):
     assert shingle_copies.one_per_group(spark.createDataFrame([], DOCS)).collect() == []
