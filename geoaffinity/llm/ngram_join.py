@@ -14,21 +14,25 @@ scan. The boundary is where the sum of both, from the sizes of all sets and the
 
 A list is not expanded into its pairs. One member is the centre of its list, then another one, as long as the list
 is in several components, and each set meets the centre that it shares most lists with; only what is still apart is
-compared piece against piece. Small counts per set (``sketch``) bound how much two sets can share; candidates that
-this leaves are compared by both whole sets, streamed past the set that they all meet. The result needs no more links
-than join what links join.
+compared piece against piece. 256 bits of every set (``parity``) bound from below in how many shingles two sets differ. They stand
+beside the members of a list, so that nearly all pairs that cannot link are never rows. Small counts of large sets (``sketch``)
+bound how much two of them can share; candidates that this leaves are compared by both whole sets, streamed past the set that
+they all meet. The result needs no more links than join what links join.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import cut, discard, spread
 from .components import components
 from .grouped import whole_groups
+from .keyfilter import inside, key_filter, passing
 from .skew import join_counted
 from .text import LOWER, mixed, row_blocks, text_bytes
 
@@ -39,13 +43,16 @@ FREQUENT = 50_000  # shingles, the most frequent ones, that stand last in the or
 BLOCK = 4 << 20  # bytes of text whose shingles are counted together
 SAMPLE = 64  # one in so many shingles has its list measured
 ROUNDS = 1  # in which each set meets one other before all candidates that are left are compared
-SHARE = 16  # one in so many lists is compared before all others
+SHARE = 16  # lists are dealt into so many shares, some of which are compared before all others
+TURNS = 8  # so many shares at most
+FEW = 8  # sets that a member of a list meets in such a turn
 SMALL = 64  # members of a list that is compared together with others
 SLAB = 1 << 15  # pairs compared at a time
 PIECE = 4096  # members of a list that meet as many others in a task
 MEET = 20_000  # sets that meet one in a task
-FILTER = 1 << 27  # bits of the filter of wanted texts
 BUCKETS = 256  # of a sketch, by a hash's first byte
+LARGE = 512  # sets of more shingles have a sketch too
+BITS = ["p0", "p1", "p2", "p3"]  # a set's parity
 
 _FACTOR = np.random.default_rng(SHINGLE).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -96,6 +103,13 @@ def ordered(hashes: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.concatenate([hashes[~late], end[np.argsort(rank[at[late]])]])
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes has each last byte: 256 bits. At least as many shingles are in one of two sets alone
+    as bits of their parities differ."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """How many hashes fall into each of ``BUCKETS``. The sum of the lesser counts of two sketches is at least the number of
     hashes that both sets hold. Sets that could exceed a count allow everything."""
@@ -113,7 +127,7 @@ def _counts(column: pa.Array) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, key (a hash of id and text), node (a 128-bit hash of the set), n, prefix, sketch; row numbers."""
+    """doc_id, key (a hash of id and text), node (a 128-bit hash of the set), n, prefix, sketch, parity; row numbers."""
     order = frequent(docs)
     at = np.argsort(order)
     sent = docs.sparkSession.sparkContext.broadcast((order[at], at))
@@ -121,21 +135,25 @@ def _rows(docs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = sent.value
         for batch in batches:
-            nodes, sizes, parts, sketches = [], [], [], []
+            nodes, sizes, parts, sketches, bits = [], [], [], [], [np.zeros((0, len(BITS)), np.int64)]
             for found in _sets(batch.column("text")):
                 n = len(found)
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
                 sizes.append(n)
-                sketches.append(sketch(found) if n else None)
+                sketches.append(sketch(found) if n > LARGE else None)
+                bits.append(parity(found)[None])
                 parts.append(ordered(found, last, rank)[: n - -(-percent * n // 100) + SUBSET].view(np.int64))
             borders = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            bits = [pa.array(c) for c in np.ascontiguousarray(np.concatenate(bits).T)]
             prefix = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                 prefix, pa.array(sketches, pa.binary())], names=["doc_id", "key", "node", "n", "prefix", "sketch"])
+                 prefix, pa.array(sketches, pa.binary()), *bits],
+                names=["doc_id", "key", "node", "n", "prefix", "sketch", *BITS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"doc_id {kind}, key long, node binary, n long, prefix array<long>, sketch binary")
+    out = docs.mapInArrow(run, f"doc_id {kind}, key long, node binary, n long, prefix array<long>, sketch binary, "
+                          + ", ".join(f"{c} long" for c in BITS))
     return cut(out.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -167,18 +185,36 @@ def boundary(nodes: DataFrame, percent: int) -> int:
     return best
 
 
-def _listed(nodes: DataFrame, light: int, percent: int) -> DataFrame:
-    """list, id, n, pos, guest: a row for every list that a set stands in. Two guests of a list need not meet."""
-    n, one = F.col("n"), _first(F.col("n"), 1, percent)
-    guest = n <= light
-    scanned = nodes.where(~guest | (F.floor(n * 100 / F.lit(percent)) > light)).select(
-        "id", "n", guest.alias("guest"), F.posexplode(F.slice("prefix", 1, one)).alias("pos", "h")).select(
-        F.xxhash64("h").alias("list"), "id", "n", "pos", "guest")
+def _scanned(nodes: DataFrame, light: int, percent: int) -> DataFrame:
+    """id, n, guest, heads (the shingles whose lists a set stands in). Two guests of a list need not meet."""
+    n = F.col("n")
+    return nodes.where((n > light) | (F.floor(n * 100 / F.lit(percent)) > light)).select(
+        "id", "n", (n <= light).alias("guest"), F.slice("prefix", 1, _first(n, 1, percent)).alias("heads"))
+
+
+def _named(nodes: DataFrame, light: int) -> DataFrame:
+    """list, id, n, pos, guest: a row for every subset that a light set names."""
     tails = F.transform(F.sequence(F.lit(1), F.size("prefix") - 1), lambda i: F.transform(
         F.slice("prefix", i + 1, F.size("prefix")), lambda h: F.xxhash64(F.element_at("prefix", i), h)))
-    named = nodes.where(guest).select("id", "n", F.explode(F.flatten(tails)).alias("list")).select(
+    return nodes.where(F.col("n") <= light).select("id", "n", F.explode(F.flatten(tails)).alias("list")).select(
         "list", "id", "n", F.lit(0).alias("pos"), F.lit(False).alias("guest"))
-    return scanned.unionByName(named)
+
+
+def _listed(scanned: DataFrame, sent: Broadcast) -> DataFrame:
+    """list, id, n, pos, guest: a row for every list of a set that may be in the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column("heads")
+            many = heads.value_lengths().to_numpy().astype(np.int64)
+            h = heads.flatten()
+            row = np.repeat(np.arange(len(many)), many)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            there = np.flatnonzero(inside(sent.value, h.to_numpy()))
+            own = batch.select(["id", "n", "guest"]).take(pa.array(row[there]))
+            yield pa.RecordBatch.from_arrays([h.take(pa.array(there)), own.column("id"), own.column("n"), pa.array(
+                pos[there].astype(np.int32)), own.column("guest")], names=["list", "id", "n", "pos", "guest"])
+
+    return scanned.mapInArrow(run, "list long, id long, n long, pos int, guest boolean")
 
 
 def _may_link(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
@@ -189,25 +225,21 @@ def _may_link(n: Column, m: Column, i: Column, j: Column, percent: int) -> Colum
 
 def _filtered_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, hashes of the sets of ``wanted(id, node, key)``. Only texts that pass a filter of the wanted keys are
-    shingled again and shuffled; the filter has a fixed size and lets some others through, which the join drops."""
-    bits = wanted.groupBy(F.expr(f"pmod(key, {FILTER}) div 32").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(pmod(key, 32) as int)))").alias("b")).toArrow()
-    table = np.zeros(FILTER // 32, np.uint32)
-    table[bits.column("w").to_numpy()] = bits.column("b").to_numpy().astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    shingled again and shuffled; the filter lets some others through, which the join drops."""
+    sent = key_filter(wanted.select("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = np.mod(batch.column("key").to_numpy(), FILTER)
-            there = (sent.value[key >> 5] >> (key & 31).astype(np.uint32)) & 1
-            texts = batch.column("text").filter(pa.array(there.astype(bool)))
+            texts = batch.column("text").filter(pa.array(inside(sent.value, batch.column("key").to_numpy())))
             for low, high in row_blocks(text_bytes(texts)[1], BLOCK):
                 found = [s.tobytes() for s in _sets(texts.slice(low, high - low))]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()),
                                                   pa.array(found, pa.binary())], names=["node", "hashes"])
 
     found = docs.select("key", "text").mapInArrow(run, "node binary, hashes binary")
-    return cut(found.join(wanted.select("node", "id"), "node").dropDuplicates(["id"]).select("id", "hashes"))
+    out = cut(found.join(wanted.select("node", "id"), "node").dropDuplicates(["id"]).select("id", "hashes"))
+    sent.unpersist()
+    return out
 
 
 def _compared(percent: int):
@@ -242,12 +274,24 @@ def _possible(percent: int):
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sketches allow a link."""
-    def side(k: str) -> DataFrame:
-        return nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    return both.mapInArrow(_possible(percent), "a long, b long")
+    """Those of ``pairs(a, b)`` whose parities allow a link, as a table; of two large sets the sketches have to, too."""
+    def side(k: str, some: DataFrame, *columns: str) -> DataFrame:
+        return some.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}{k}") for c in columns])
+
+    both = pairs.join(side("a", nodes, "n", *BITS), "a").join(side("b", nodes, "n", *BITS), "b")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in BITS])
+    near = cut(both.where((F.col("na") + F.col("nb")) * (100 - percent) >= differ * (100 + percent)).select(
+        "a", "b", "na", "nb"))
+    many = (F.col("na") > LARGE) & (F.col("nb") > LARGE)
+    large = near.where(many)
+    if large.isEmpty():
+        return near.select("a", "b")
+    wide = nodes.where(F.col("n") > LARGE)
+    sketched = large.join(side("a", wide, "sketch"), "a").join(side("b", wide, "sketch"), "b").select(
+        "a", "b", "na", "nb", F.col("sketcha").alias("sa"), F.col("sketchb").alias("sb"))
+    out = cut(sketched.mapInArrow(_possible(percent), "a long, b long").unionByName(near.where(~many).select("a", "b")))
+    discard(near)
+    return out
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -265,12 +309,14 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
         _compared(percent), "a long, b long")
 
 
-def _apart(percent: int):
+def _apart(percent: int, few: int | None = None):
+    """Pairs of sets in one list that may link; with ``few``, so many others of each at most."""
     keys = ["list", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, keys):
             node, root, n, pos, guest = (table.column(c).to_numpy() for c in ("id", "root", "n", "pos", "guest"))
+            bits = [table.column(c).to_numpy() for c in BITS]
 
             def linked(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
                 """Of these pairs of rows, the nodes of those that may link."""
@@ -278,7 +324,17 @@ def _apart(percent: int):
                 shared = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
                 keep = ((root[x] != root[y]) & ~(guest[x] & guest[y]) & (least * 100 >= most * percent)
                         & (shared * (100 + percent) >= (least + most) * percent))
-                x, y = node[x[keep]], node[y[keep]]
+                x, y = x[keep], y[keep]
+                differ = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)).astype(np.int64) for b in bits)
+                near = (n[x] + n[y]) * (100 - percent) >= differ * (100 + percent)
+                x, y = x[near], y[near]
+                if few is not None and len(x) > few:  # those with the least hash of both
+                    order = np.lexsort((mixed((node[x] ^ node[y]).view(np.uint64)), x))
+                    x, y = x[order], y[order]
+                    new = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                    which = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+                    x, y = x[which < few], y[which < few]
+                x, y = node[x], node[y]
                 return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
             sizes = np.diff(np.append(starts, table.num_rows))
@@ -304,6 +360,19 @@ def _apart(percent: int):
     return run
 
 
+def _nodes(wide: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of ``wide`` that stands for its set, as id, of every set, as a table. Only rows whose set may be in several
+    rows are shuffled."""
+    columns = [F.col("row").alias("id"), "n", "prefix", "sketch", "node", "key", *BITS]
+    wide = wide.withColumn("code", F.xxhash64("node"))
+    sent = key_filter(groups.where("rows > 1").select(F.xxhash64("node").alias("code")))
+    chosen = groups.select(F.col("id").alias("row"))
+    again = passing(wide, "code", sent).join(chosen, "row", "left_semi")
+    out = cut(passing(wide, "code", sent, False).select(*columns).unionByName(again.select(*columns)))
+    sent.unpersist()
+    return out
+
+
 def _rooted(links: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (with an id) and the root of each; a node without links is its own."""
     roots = cut(components(links)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
@@ -314,13 +383,23 @@ def _rooted(links: DataFrame, members: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: int | None = None,
           piece: int = PIECE, rounds: int = ROUNDS) -> DataFrame:
     """Links a, b between ``nodes(id, n, prefix, sketch, node, key)``, all right and enough to join what links join."""
-    least = percent / (100 - percent) if percent < 100 else float("inf")  # smaller sets link with none but themselves
-    nodes = cut(nodes.where(F.col("n") >= least))
-    listed = _listed(nodes, boundary(nodes, percent) if light is None else light, percent)
+    made = []  # tables that nothing reads after this
+
+    def kept(df: DataFrame) -> DataFrame:
+        made.append(cut(df))
+        return made[-1]
+
+    light = boundary(nodes, percent) if light is None else light
+    scanned, named = _scanned(nodes, light, percent), _named(nodes, light)
+    every = scanned.select(F.explode("heads").alias("list"), "guest").unionByName(named.select("list", "guest"))
     found = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    shared = cut(listed.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("guests")).where(
+    shared = cut(every.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("guests")).where(
         "m > 1 and not guests").drop("guests"))
-    open_rows = cut(join_counted(listed, shared, ["list"], "m", "inner"))
+    sent = key_filter(shared.select("list"))
+    likely = cut(_listed(scanned, sent).unionByName(passing(named, "list", sent)) if light else _listed(scanned, sent))
+    sent.unpersist()
+    open_rows = kept(join_counted(likely, shared, ["list"], "m", "inner"))
+    discard(likely, shared)
     sets = None
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -330,11 +409,11 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: i
             return found
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if sets is not None:
-            ids = cut(ids.join(sets, "id", "left_anti"))
+            ids = kept(ids.join(sets, "id", "left_anti"))
         if sets is None or not ids.isEmpty():
-            more = _filtered_sets(docs, cut(nodes.join(ids, "id").select("id", "node", "key")))
+            made.append(more := _filtered_sets(docs, kept(nodes.join(ids, "id").select("id", "node", "key"))))
             sets = more if sets is None else sets.unionByName(more)
-        return cut(found.unionByName(similar(pairs, sets, percent)))
+        return kept(found.unionByName(similar(pairs, sets, percent)))
 
     if rounds:
         centre = F.min(F.struct("guest", F.xxhash64("id").alias("first"), "id", "n", "pos")).alias("one")  # no guest
@@ -344,33 +423,52 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, light: i
             F.col("n"), F.col("one.n"), F.col("pos"), F.col("one.pos"), percent)).groupBy(
             F.col("one.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
         most = F.max(F.struct("lists", (-F.col("a")).alias("last"))).alias("most")  # of a set, the centre it meets
-        found = verified(cut(possible(meet.groupBy("b").agg(most).select((-F.col("most.last")).alias("a"), "b"), nodes, percent)))
-
-    def apart(share: int) -> DataFrame:
-        """Candidates of different components from one in ``share`` of the lists that are not in one component."""
-        known = cut(_rooted(found, open_rows.where(F.pmod("list", F.lit(share)) == 0).drop("m")))
+        first = possible(meet.groupBy("b").agg(most).select((-F.col("most.last")).alias("a"), "b"), nodes, percent)
+        discard(lists)
+        found = verified(first)
+        discard(first)
+
+    def apart(share: int | None = None) -> DataFrame:
+        """Candidates of different components from the lists that are not in one component, as a table. Of one share of the
+        lists, a few for each member."""
+        some = open_rows if share is None else open_rows.where(F.pmod("list", F.lit(SHARE)) == share)
+        known = cut(_rooted(found, some.drop("m")))
         still = cut(known.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"),
                                               F.max("root").alias("high")).where("low != high").select("list", "m"))
         keys = ["list", "i", "j"]
         pieces = F.ceil(F.col("m") / F.lit(piece)).cast("int")
         own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
-        dealt = join_counted(known, still, ["list"], "m", "inner").withColumn("pieces", pieces).withColumn("own", own).withColumn(
+        dealt = join_counted(known, still, ["list"], "m", "inner").join(nodes.select("id", *BITS), "id").withColumn(
+            "pieces", pieces).withColumn("own", own).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns(
             {"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        rows = spread(dealt.select(*keys, "id", "root", "n", "pos", "guest"), *keys).sortWithinPartitions(*keys)
-        return rows.mapInArrow(_apart(percent), "a long, b long").distinct()
-
-    # Sets that link share many lists, so a share of the lists shows most of them; each set meets the first
-    # one that it may link with, which joins nearly all. Then the lists that are still apart, all of them.
-    tested = found.limit(0)
-    if rounds:
-        left = cut(possible(apart(SHARE), nodes, percent))
-        tested = cut(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        found = verified(tested)
-        roots = cut(_rooted(found, nodes.select("id")).where("root != id"))
-        left = cut(_ends(left.join(tested, ["a", "b"], "left_anti"), roots).where("ra != rb").select("a", "b"))
-        found, tested = verified(left), tested.unionByName(left)
-    return verified(cut(possible(apart(1).join(tested, ["a", "b"], "left_anti"), nodes, percent)))
+        rows = spread(dealt.select(*keys, "id", "root", "n", "pos", "guest", *BITS), *keys).sortWithinPartitions(*keys)
+        out = cut(rows.mapInArrow(_apart(percent, None if share is None else FEW), "a long, b long").distinct())
+        discard(known, still)
+        return out
+
+    # Sets that link share many lists, so a share of the lists shows most of them. In a large group of near copies a few
+    # candidates of each set join nearly all, so that pairs grow with the sets and not with the square of the group; as long as
+    # that joins many, the next share follows. Then the lists that are still apart, all of them and whole.
+    tested, links_before, most = found.limit(0), found.count(), 0
+    for turn in range(TURNS if rounds else 0):
+        every = apart(turn)
+        some = possible(every.join(tested, ["a", "b"], "left_anti"), nodes, percent)
+        discard(every)
+        made.append(some)
+        found, tested = verified(some), tested.unionByName(some)
+        links_now = found.count()
+        more, links_before = links_now - links_before, links_now
+        most = max(most, more)
+        if 4 * more <= most:
+            break
+    every = apart()
+    some = possible(every.join(tested, ["a", "b"], "left_anti"), nodes, percent)
+    found = verified(some)
+    discard(every, some)
+    out = cut(found)
+    discard(*made)
+    return out
 
 
 def _ends(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -395,14 +493,20 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("percent: from 67 to 100, so that linked sets share a subset")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = _rows(docs, percent)
+    least = percent / (100 - percent) if percent < 100 else float("inf")  # smaller sets link with none but themselves
+    wide = _rows(docs, percent)
+    rows = cut(wide.select("doc_id", "n", "node", "row"))
     groups = cut(rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("row").alias("id")))
-    chosen = groups.select(F.col("id").alias("row"))
-    nodes = rows.join(chosen, "row", "left_semi").select(F.col("row").alias("id"), "n", "prefix", "sketch", "node", "key")
-    linked = cut(_rooted(links(docs, nodes, percent=percent, **options), groups))
+    nodes = _nodes(wide.where(F.col("n") >= least), groups)
+    discard(wide)
+    found = links(docs, nodes, percent=percent, **options)
+    discard(nodes)
+    linked = cut(_rooted(found, groups))
+    discard(found, groups)
     whole = cut(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
     named = cut(join_counted(linked, whole, ["root"], "n", "inner").select("node", "rows", "component_id"))
+    discard(linked, whole)
     out = join_counted(rows.where("n > 0").select("doc_id", "n", "node"), named, ["node"], "rows", "inner")
     alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from geoaffinity.llm import ngram_join
@@ -87,3 +88,32 @@ def test_long_and_no_documents(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:-9])), (3, "again " * 300_000), (4, "again " * 9), (5, None)]
     docs = spark.createDataFrame([(*r, "x", 1, None, "y") for r in rows], SCHEMA)
     assert sorted((r[0], r[2]) for r in ngram_join.near_copies(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
+
+
+def test_parity_is_a_bound():
+    """No more bits differ than shingles do."""
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 30, 700):
+        both, one, two = (rng.integers(0, 1 << 63, n, np.uint64) for n in (size, 20, 7))
+        x, y = (ngram_join.parity(np.unique(np.concatenate([both, own]))) for own in (one, two))
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= 27
+
+
+def test_candidates_do_not_grow_with_the_square(spark, monkeypatch):
+    """Copies of one text, each with four edits of its own, share lists but link with few: their pairs are no rows."""
+    rng, seen, before = random.Random(3), [], ngram_join.possible
+
+    def possible(pairs, nodes, percent):
+        seen.append(pairs.count())
+        return before(pairs, nodes, percent)
+
+    monkeypatch.setattr(ngram_join, "possible", possible)
+    hub, rows = [f"h{i}" for i in range(150)], []
+    for d in range(120):
+        words = list(hub)
+        for k, at in enumerate(rng.sample(range(5, 145, 5), 4)):
+            words[at] = f"own{d}_{k}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame([(*r, "x", 1, None, "y") for r in rows], SCHEMA)
+    assert sorted(map(tuple, ngram_join.near_copies(docs).collect())) == sorted(linked(rows))
+    assert sum(seen) <= 8 * len(rows)
