@@ -13,11 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import cut, discard, spread
 from .components import components
 from .grouped import whole_groups
+from .keyfilter import inside, key_filter, passing
 from .simhash import SEED, first_rows
 from .skew import join_counted
 from .text import LOWER, row_texts
@@ -80,6 +82,22 @@ def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {kind}, text_key long, node long, size long, bands array<long>")
 
 
+def _shared(nodes: DataFrame, sent: Broadcast) -> DataFrame:
+    """node, size, bucket: a row for each bucket of a node that may be in the filter. Buckets of one node are most of all and
+    are neither written nor shuffled again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            buckets = bands.flatten()
+            row = np.repeat(np.arange(batch.num_rows), bands.value_lengths().fill_null(0).to_numpy())
+            there = np.flatnonzero(inside(sent.value, buckets.to_numpy()))
+            own = batch.select(["node", "size"]).take(pa.array(row[there]))
+            yield pa.RecordBatch.from_arrays([own.column("node"), own.column("size"), buckets.take(pa.array(there))],
+                                             names=["node", "size", "bucket"])
+
+    return nodes.select("node", "size", "bands").mapInArrow(run, "node long, size long, bucket long")
+
+
 def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """node, hashes (bytes of the sorted set) of the wanted ``nodes``, from one text each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +108,11 @@ def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str) -> Data
 
     chosen = cut(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("_key")))
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("_key"))
-    held = texts.join(chosen, "_key").select("node", "text").dropDuplicates(["node"])
+    sent = key_filter(chosen.select("_key"))  # other texts are not shuffled
+    likely = passing(texts.where("_key is not null"), "_key", sent)
+    held = likely.join(chosen, "_key").select("node", "text").dropDuplicates(["node"])
     out = cut(held.mapInArrow(run, "node long, hashes binary"))
+    sent.unpersist()
     discard(chosen)
     return out
 
@@ -188,9 +209,12 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = cut(_sketches(docs, doc_id, text))
     nodes = cut(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"),
                                          F.count(F.lit(1)).alias("rows")))
-    dealt = cut(nodes.select("node", "size", F.explode("bands").alias("bucket")))
-    buckets = cut(dealt.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("lead"),
+    every = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    buckets = cut(every.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("lead"),
                                               F.count(F.lit(1)).alias("m")).where("m > 1"))
+    sent = key_filter(buckets.select("bucket"))
+    dealt = cut(_shared(nodes, sent))
+    sent.unpersist()
     met = cut(join_counted(dealt, buckets, ["bucket"], "m", "inner"))
     discard(dealt, buckets)
     close = F.least("size", "lead.size") / F.greatest("size", "lead.size") >= similarity

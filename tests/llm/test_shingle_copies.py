@@ -94,3 +94,12 @@ def test_pipeline_stage_leaves_no_large_tables(spark):
 
 def test_no_documents(spark):
     assert shingle_copies.one_per_group(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_buckets_of_one_node_are_not_dealt(spark):
+    """Rows are made for the buckets in the filter alone; null and empty lists have none."""
+    nodes = spark.createDataFrame([(1, 9, [5, -7]), (2, 9, [5, 11]), (3, 0, []), (4, 0, None)],
+                                  "node long, size long, bands array<long>")
+    sent = shingle_copies.key_filter(spark.createDataFrame([(5,), (-7,)], "bucket long"))
+    got = shingle_copies._shared(nodes, sent).collect()
+    assert sorted(map(tuple, got)) == [(1, 9, -7), (1, 9, 5), (2, 9, 5)]
