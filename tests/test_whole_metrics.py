@@ -7,7 +7,7 @@ from geoaffinity import queries
 from geoaffinity.operators import factor
 
 
-@pytest.mark.parametrize("name,program", [("metrics_bpr", "ranking_model"), ("metrics_logistic_mf", "logistic_model")])
+@pytest.mark.parametrize("name,program", [("metrics_bpr", "ranking_model"), ("metrics_logistic_mf", "logistic_model"), ("metrics_logistic_mf_neg", "logistic_model")])
 def test_whole_training(monkeypatch, name, program):
     seen = []
     monkeypatch.setattr(queries.fx, "interactions", lambda *a: None)
